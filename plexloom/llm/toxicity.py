@@ -1,10 +1,11 @@
 """Toxicity by weak supervision.
 
 Many voters look at a text: lexicons of insults in several languages, forms of address, and patterns of writing.  A
-generative label model takes the votes: each voter has a rate of firing on toxic and on clean texts, found by EM from
-the votes with the labelled rows as anchors; voters that fire together beyond what the model explains share their
-weight (correlations).  A linear classifier is then trained on the posterior labels, over word indicators and votes, so
-that words the lexicons don't hold are learnt; its words need support in several rows.
+generative label model takes the votes: each voter has a rate of firing on toxic and on clean texts, found by EM with
+the label as one more voter; a voter that doesn't fire abstains, which is no evidence; voters that fire together beyond
+what the model explains share their weight (correlations).  A linear classifier is then trained on the posterior labels,
+over votes, words and beginnings of words, so that words and stems the lexicons don't hold are learnt; these need
+support in several rows.
 
 All is fitted on at most SAMPLE labelled rows that are not held out, chosen by a hash of the id; every whole text is
 scored.  Labels, lang, source and doc_id never enter a score.
@@ -27,9 +28,13 @@ from plexloom.llm.quality import add_score, fitting_rows
 
 SAMPLE = 12_000
 THRESHOLD = 0.5
-BITS = 20
+BITS = 22
+#: Lengths of the word beginnings that are features beside whole words.
+STEMS = (3, 4, 5, 6, 7)
+#: Log-odds that a label of 1 or of 0 adds in the label model: the labels are one more voter.
+LABEL_ODDS = (7.0, -5.0)
 #: Toxic-leaning words of the classifier: rows of posterior toxicity they need, and their least log-odds.
-SUPPORT, ODDS = 6, 2.0
+SUPPORT, ODDS = 5, 2.5
 MOST_WORDS = 4_000
 CACHE = 400_000
 
@@ -62,10 +67,19 @@ _MASK = (1 << BITS) - 1
 
 
 class _Names(dict):
-    def __missing__(self, word: bytes) -> int:
+    """word -> bins of the word and of its beginnings; only those in `among` if it is given."""
+
+    def __init__(self, among: np.ndarray | None = None) -> None:
+        super().__init__()
+        self.among = among
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= CACHE:
             self.clear()
-        self[word] = out = (xxhash.xxh3_64_intdigest(word) & _MASK) + len(VOTERS)
+        letters = word.decode("utf-8", "replace")
+        made = [(xxhash.xxh3_64_intdigest(word) & _MASK) + len(VOTERS)]
+        made += [(xxhash.xxh3_64_intdigest(letters[:k].encode("utf-8"), seed=k) & _MASK) + len(VOTERS) for k in STEMS if len(letters) > k]
+        self[word] = out = tuple(b for b in made if self.among is None or self.among[b])
         return out
 
 
@@ -82,22 +96,28 @@ def features(text: str | None, names: _Names) -> np.ndarray:
     hits = sum(w in _LEX for w in words)
     votes |= {len(VOTERS) - 2} if hits >= 2 else set()
     votes |= {len(VOTERS) - 1} if text.count("!") >= 3 and text.isupper() else set()
-    bins = np.fromiter((names[w] for w in distinct), np.int64, len(distinct))
-    return np.unique(np.concatenate([np.fromiter(votes, np.int64, len(votes)), bins]))
+    for w in distinct:
+        votes.update(names[w])
+    return np.fromiter(sorted(votes), np.int64, len(votes))
+
+
+def posterior(log: np.ndarray, y: np.ndarray) -> np.ndarray:
+    if len(set(y.tolist())) == 2:
+        log = log + np.where(y == 1, *LABEL_ODDS)
+    return 1 / (1 + np.exp(-np.clip(log, -35, 35)))
 
 
-def label_model(votes: np.ndarray, y: np.ndarray, anchor: float = 0.5, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
     """Rates of firing on toxic and clean rows, the prior, and the weight of each voter, by EM over 0/1 votes.
 
-    y anchors the model: a row's posterior is its vote posterior mixed with the label by `anchor`.  The weight is one
+    y is one more voter, of fixed rates.  The weight is one
     over the number of voters it is correlated with, by the residual correlation within the likelier class.
     """
     n, k = votes.shape
     prior, on, off, weight = 0.1, np.full(k, 0.3), np.full(k, 0.02), np.ones(k)
     for r in range(rounds):
-        log = np.log(prior / (1 - prior)) + (votes * np.log(on / off) + (1 - votes) * np.log((1 - on) / (1 - off))) @ weight
-        post = 1 / (1 + np.exp(-np.clip(log, -35, 35)))
-        post = (1 - anchor) * post + anchor * y if len(set(y.tolist())) == 2 else post
+        log = np.log(prior / (1 - prior)) + votes @ (weight * np.log(on / off))
+        post = posterior(log, y)
         on = np.clip((post @ votes + 0.2) / (post.sum() + 2), 1e-4, 1 - 1e-4)
         off = np.clip(((1 - post) @ votes + 0.1) / ((1 - post).sum() + 10), 1e-5, 1 - 1e-4)
         prior = float(np.clip(post.mean(), 0.005, 0.5))
@@ -120,10 +140,8 @@ class ToxicityModel:
         for i, r in enumerate(rows):
             votes[i, r[r < k]] = 1
         on, off, prior, weight = label_model(votes, y)
-        log = np.log(prior / (1 - prior)) + (votes * np.log(on / off) + (1 - votes) * np.log((1 - on) / (1 - off))) @ weight
-        post = 1 / (1 + np.exp(-np.clip(log, -35, 35)))
-        if len(set(y.tolist())) == 2:
-            post = 0.5 * post + 0.5 * y
+        log = np.log(prior / (1 - prior)) + votes @ (weight * np.log(on / off))
+        post = posterior(log, y)
         size = k + (1 << BITS)
         flat, own = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         good, bad = np.bincount(flat, 1 - post[own], size), np.bincount(flat, post[own], size)
@@ -165,7 +183,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        of = _features()
-        return lambda text: held.value.score(of(text))
+        names = _Names(held.value.weights != 0)
+        return lambda text: held.value.score(features(text, names))
 
     return add_score(docs, make)
