@@ -67,7 +67,7 @@ def bounded_join(big: DataFrame, small: DataFrame, on: list[str], salt: str, how
         right = F.broadcast(right)
     else:
         big = big.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
-        right = right.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        right = right.withColumn("__salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         cond.append(F.col("__salt") == F.col("__salt2"))
     return big.join(right, cond, how).drop("__salt", "__salt2", *[f"__k{i}" for i in range(len(on))])
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexloom.llm.common import blank_words, bounded_join, map_batches, spool
+from plexloom.llm.common import blank_words, map_batches, spool
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -232,7 +232,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         first = linked.groupBy("root").agg(F.min("doc").alias("first"))
         named = classes.join(linked.join(first, "root").select("vid", "first"), "vid", "left").select("vid", F.coalesce("first", "doc").alias("component_id"))
     named = spool(named)
-    out = bounded_join(own.filter("n > 0").select("doc_id", "vid", "n"), named, ["vid"], "doc_id").unionByName(own.filter("n = 0").select("doc_id", "vid", "n", F.col("doc_id").alias("component_id")))
+    # both sides are shuffled by vid alone, so adaptive execution splits a class of very many copies
+    out = own.filter("n > 0").select("doc_id", "vid", "n").join(named, "vid", "left").select("doc_id", "vid", "n", "component_id").unionByName(own.filter("n = 0").select("doc_id", "vid", "n", F.col("doc_id").alias("component_id")))
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
