@@ -92,7 +92,9 @@ def commerce(spark: SparkSession, sf_dir: str, labels: set[str] | None = None, k
         ),
         "SUPPLIED_BY": lambda: edge_frame(t("lineitem").select("l_partkey", "l_suppkey").distinct(), key("part", "l_partkey"), key("supplier", "l_suppkey"), "SUPPLIED_BY"),
     }
-    return GraphView(_stack([f() for k, f in nodes.items() if labels is None or k in labels]), _stack([f() for k, f in edges.items() if kinds is None or k in kinds]))
+    found = [f() for k, f in edges.items() if kinds is None or k in kinds]
+    none = spark.createDataFrame([], ", ".join(f"{c} string" for c in EDGE_COLUMNS))
+    return GraphView(_stack([f() for k, f in nodes.items() if labels is None or k in labels]), _stack(found or [none]))
 
 
 def event_graph(spark: SparkSession, sf_dir: str) -> GraphView:

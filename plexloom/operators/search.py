@@ -130,11 +130,15 @@ def tokens(c):
     return F.filter(F.split(F.lower(c), TOKENS), lambda x: x != "")
 
 
+def equals(word: str):
+    return lambda x: x == word
+
+
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """(key, score) of the rows that hold every term, by Okapi's formula negated: lower is better."""
     terms = sorted({t.lower() for t in terms})
     held = docs.select(key, tokens(F.col(text)).alias("t")).withColumn("n", F.size("t"))
-    counts = held.select(key, "n", *[F.size(F.filter("t", lambda x, q=q: x == q)).alias(f"tf{i}") for i, q in enumerate(terms)])
+    counts = held.select(key, "n", *[F.size(F.filter("t", equals(q))).alias(f"tf{i}") for i, q in enumerate(terms)])
     total = counts.agg(F.count("*").alias("docs"), F.avg("n").alias("avg"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):

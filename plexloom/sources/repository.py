@@ -1,0 +1,81 @@
+"""Source files and version history as DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+MOST_BYTES = 512 << 20
+# Folders never read, and suffixes of files that aren't text.
+SKIPPED_FOLDERS = [".git", ".hg", ".svn", "node_modules", "target", "build", "dist", "__pycache__", ".venv", "venv", ".idea", ".vscode", "vendor"]
+SKIPPED_SUFFIXES = [".png", ".jpg", ".jpeg", ".gif", ".ico", ".zip", ".gz", ".jar", ".class", ".so", ".dll", ".exe", ".pdf", ".woff", ".woff2", ".min.js", ".lock"]
+# Languages by whole name, compound suffix and suffix.
+BY_NAME = {"Dockerfile": "dockerfile", "Makefile": "make", "CMakeLists.txt": "cmake", "go.mod": "gomod"}
+BY_COMPOUND = {".d.ts": "typescript", ".blade.php": "blade"}
+BY_SUFFIX = {
+    "py": "python", "rs": "rust", "go": "go", "java": "java", "kt": "kotlin", "scala": "scala", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "tsx", "c": "c", "h": "c",
+    "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift", "sql": "sql", "sh": "bash", "toml": "toml", "yaml": "yaml", "yml": "yaml", "json": "json", "md": "markdown",
+}
+
+
+def discover(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(path, length, modified, content_hash, text, language) of the text files under root."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rel = F.regexp_replace("path", r"^[a-z]+:/*", "/")
+    files = files.filter(F.col("length") <= most_bytes).withColumn("path", F.substr(rel, F.lit(len("/" + root.strip("/")) + 2)))
+    return files.filter(allowed(F.col("path"))).select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("text"), language(F.col("path")).alias("language"))
+
+
+def allowed(path):
+    folder = F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in SKIPPED_FOLDERS]))
+    suffix = F.lit(False)
+    for s in SKIPPED_SUFFIXES:
+        suffix = suffix | F.endswith(F.lower(path), F.lit(s))
+    return ~folder & ~suffix
+
+
+def language(path):
+    """By whole name, then compound suffix, then suffix; null if none is known."""
+    name = F.substring_index(path, "/", -1)
+    table = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+    compound = F.lit(None).cast("string")
+    for s in sorted(BY_COMPOUND, key=len):
+        compound = F.when(F.endswith(name, F.lit(s)), BY_COMPOUND[s]).otherwise(compound)
+    return F.coalesce(F.try_element_at(table(BY_NAME), name), compound, F.when(F.contains(name, F.lit(".")), F.try_element_at(table(BY_SUFFIX), F.lower(F.substring_index(name, ".", -1)))))
+
+
+def ignore_filter(path, rules: list[str]):
+    """True where the last ignore rule that fits a path doesn't exclude it; a rule with ! includes again."""
+    from plexloom.operators.text import glob_regex
+
+    out = F.lit(True)
+    for rule in rules:
+        if not rule.strip() or rule.startswith("#"):
+            continue
+        keep, glob = rule.startswith("!"), rule.removeprefix("!").rstrip("/")
+        body = glob_regex(glob.removeprefix("/"))[1:-1]
+        rx = f"^{body}(/|$)" if "/" in glob else f"(^|/){body}(/|$)"
+        out = F.when(path.rlike(rx), F.lit(keep)).otherwise(out)
+    return out
+
+
+def git_log(lines: DataFrame) -> DataFrame:
+    """(sha, ts, path) of a log (n, value) whose COMMIT:<sha>:<ts> lines head the paths of each commit.
+
+    The log's order is carried by a window over the header; give a log per partition column `repo` to spread it.
+    """
+    head = F.regexp_extract("value", r"^COMMIT:([0-9a-f]+):(\d+)$", 0)
+    by = Window.partitionBy("repo").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines if "repo" in lines.columns else lines.withColumn("repo", F.lit(""))
+    rows = rows.withColumn("h", F.last(F.when(head != "", head), True).over(by))
+    return rows.filter((head == "") & (F.col("value") != "") & F.col("h").isNotNull()).select(F.element_at(F.split("h", ":"), 2).alias("sha"), F.element_at(F.split("h", ":"), 3).cast("long").alias("ts"), F.col("value").alias("path"))
+
+
+def diff_hunks(lines: DataFrame) -> DataFrame:
+    """(path, first, last) of the new side of a unified diff (n, value)."""
+    path = F.regexp_extract("value", r"^\+\+\+ b/(.*)$", 1)
+    at = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)  # a diff is one small text
+    rows = lines.withColumn("path", F.last(F.when(path != "", path), True).over(at)).withColumn("h", F.expr(r"regexp_extract_all(value, '^@@ -[0-9,]+ \\+([0-9]+)(,[0-9]+)? @@', 1)")).filter(F.size("h") > 0)
+    size = F.regexp_extract("value", r"^@@ -[0-9,]+ \+[0-9]+,([0-9]+) @@", 1)
+    first, n = F.col("h")[0].cast("long"), F.when(size == "", 1).otherwise(size.try_cast("long"))
+    return rows.select("path", first.alias("first"), (first + F.greatest(n, F.lit(1)) - 1).alias("last"))
