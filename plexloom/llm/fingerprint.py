@@ -29,18 +29,31 @@ from plexloom.llm.common import blank_words, map_batches
 
 SLOTS = 128
 #: Terms whose samples a worker remembers.
-CACHE = 40_000
+CACHE = 80_000
 #: Rows of a range, about, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 4_000, 20_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """Finalise hashes; x is changed in place where it is large."""
+    x = x.copy() if x.ndim == 1 else x
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-_STEPS = np.arange(1, 3 * SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_STEPS = np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _unit(bits: np.ndarray, shift: int, size: int) -> np.ndarray:
+    """Uniform numbers strictly between 0 and 1 from `size` bits of each hash, at most 23."""
+    out = ((bits >> np.uint64(shift)).astype(np.uint32) & np.uint32((1 << size) - 1)).astype(np.float32)
+    out += np.float32(0.5)
+    out *= np.float32(2.0**-size)
+    return out
 
 
 class Sampler:
@@ -49,18 +62,18 @@ class Sampler:
     def __init__(self) -> None:
         self.rows: dict[bytes, int] = {}
         self.r = np.empty((CACHE, SLOTS), np.float32)
-        self.c, self.beta = np.empty_like(self.r), np.empty_like(self.r)
+        self.c, self.beta, self.single = np.empty_like(self.r), np.empty_like(self.r), np.empty_like(self.r)
         self.name = np.empty(CACHE, np.uint64)
 
     def _draw(self, at: slice, terms: list[bytes]) -> None:
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, len(terms))
         bits = _mix(h[:, None] + _STEPS)
-        u = ((bits & np.uint64(0xFFFFFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
-        v = ((bits >> np.uint64(32)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
-        u, v = np.minimum(u, np.float32(1 - 2.0**-24)), np.minimum(v, np.float32(1 - 2.0**-24))
-        self.r[at] = -np.log(u[:, :SLOTS] * v[:, :SLOTS])
-        self.c[at] = np.log(-np.log(u[:, SLOTS : 2 * SLOTS] * v[:, SLOTS : 2 * SLOTS]))
-        self.beta[at] = u[:, 2 * SLOTS :]
+        # two hashes a slot: twice 23 bits of each for the gammas, 18 bits of one for beta
+        gamma = -np.log(_unit(bits, 0, 23) * _unit(bits, 23, 23))
+        self.r[at] = gamma[:, :SLOTS]
+        self.c[at] = np.log(gamma[:, SLOTS:])
+        self.beta[at] = _unit(bits[:, :SLOTS], 46, 18)
+        self.single[at] = self.c[at] - self.r[at] * (1 - self.beta[at])
         self.name[at] = h
 
     def _find(self, terms: list[bytes]) -> np.ndarray:
@@ -76,21 +89,26 @@ class Sampler:
 
     def slots(self, counts: dict[bytes, int]) -> np.ndarray:
         """16 bits for each slot, never 0; all 0 for no terms."""
-        best, name, step = np.full(SLOTS, np.inf, np.float32), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.float32)
-        terms = list(counts)
-        for i in range(0, len(terms), 1024):
-            part = terms[i : i + 1024]
-            at = self._find(part)
-            w = np.log(np.fromiter((counts[t] for t in part), np.float32, len(part)))[:, None]
-            r, beta = self.r[at], self.beta[at]
-            t = np.floor(w / r + beta)
-            a = self.c[at] - r * (t - beta + 1)
-            row = a.argmin(axis=0)
-            low = a[row, np.arange(SLOTS)]
-            better = low < best
-            best[better], name[better], step[better] = low[better], self.name[at[row]][better], t[row, np.arange(SLOTS)][better]
-        if not terms:
+        if not counts:
             return np.zeros(SLOTS, np.uint16)
+        best, name, step = np.full(SLOTS, np.inf, np.float32), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.float32)
+        once, more = [t for t, n in counts.items() if n == 1], [t for t, n in counts.items() if n > 1]
+        for terms in (once, more):
+            for i in range(0, len(terms), 1024):
+                part = terms[i : i + 1024]
+                at = self._find(part)
+                if terms is once:  # ln w is 0, so t is 0
+                    a, t = self.single[at], None
+                else:
+                    w = np.log(np.fromiter((counts[x] for x in part), np.float32, len(part)))[:, None]
+                    r, beta = self.r[at], self.beta[at]
+                    t = np.floor(w / r + beta)
+                    a = self.c[at] - r * (t - beta + 1)
+                low = a.min(axis=0)
+                better = np.flatnonzero(low < best)
+                row = np.argmax(a[:, better].T == low[better][:, None], axis=1)
+                best[better], name[better] = low[better], self.name[at[row]]
+                step[better] = 0 if t is None else t[row, better]
         return (_mix(name + step.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
 
     def fingerprint(self, text: str | None) -> np.ndarray:
