@@ -282,7 +282,10 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with the hit spans cut from their texts; a document of which no word is left goes."""
+    """docs with the hit spans cut from their texts; a document of which no word is left goes.
+
+    Columns of docs named n_words, spans or items go."""
+    docs = docs.drop("n_words", "spans", "items")
     found = search(docs, benchmark)
     names = docs.columns
 

@@ -64,17 +64,20 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text cut, and n_lines, n_removed (long) and emptied (boolean: all lines went) added."""
-    gone = removed_lines(docs).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"), "gone")
+    """docs with text cut, and n_lines, n_removed (long) and emptied (boolean: all lines went) added.
+
+    Columns of docs that have these names are replaced.
+    """
+    docs = docs.drop("n_lines", "n_removed", "emptied")
+    gone = removed_lines(docs).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"), F.col("gone").alias("__gone"))
     joined = docs.withColumn("__key", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row")), "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i.cast("long"))), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i.cast("long"))), "\n")
+    count = lambda c, there: F.when(there.isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")
     return (
-        joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-        .withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
-        .withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_removed")))
-        .withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
+        joined.withColumn("n_lines", count(lines, F.col("text")))
+        .withColumn("n_removed", count(F.col("__gone"), F.col("__gone")))
+        .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
         .withColumn("emptied", (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines")))
         .select(*docs.columns, "n_lines", "n_removed", "emptied")
     )

@@ -88,8 +88,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, epochs=EPOCHS, budget: float = 1.0, se
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: a row of docs for each copy, with copy (from 1), size, target and taken (words of that copy).
 
-    A cut copy has the first words of its text, joined by blanks.
+    A cut copy has the first words of its text, joined by blanks.  Columns of docs named like those of mix() go.
     """
+    docs = docs.drop("copy", "size", "source_size", "target", "taken", "repeats", "part", "u", "bin", "whole", "extra", "edge_bin", "edge_before", "more")
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
     rows = mix(docs, carry=carry, **options)
     n = (F.col("repeats") + F.when(F.col("part") > 0, 1).otherwise(0)).cast("int")

@@ -83,7 +83,7 @@ def test_fingerprint(docs):
     got = {}
     for r in fingerprint.edited_fingerprints(docs).collect():
         got.setdefault(r.doc_id, r)
-    assert len(got) == 9 and got[3].fingerprint == "0" * (4 * fingerprint.SLOTS) and got[3].near_next == 1.0 and got[1].n_chars == len(POEM)
+    assert len(got) == 9 and got[3].fingerprint == "0" * (4 * fingerprint.SLOTS) and got[4].near_next == 1.0 and got[3].near_next == 0.0 and got[1].n_chars == len(POEM)
     ordered = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0)))
     import hashlib
 
