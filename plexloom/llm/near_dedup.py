@@ -223,7 +223,7 @@ def _compare_blocks(left: DataFrame, mixed: DataFrame, reps: DataFrame, sets: Da
             common = np.bincount(term) > 1
             term, own = (np.cumsum(common) - 1)[term[keep := common[term]]], own[keep]
             shared = np.zeros((len(odd_at), len(right_at)), np.float32)
-            width = max(256, 8_000_000 // len(pdf))
+            width = max(1, min(int(common.sum()), max(256, 8_000_000 // len(pdf))))
             for t in range(0, int(common.sum()), width):
                 grid = np.zeros((len(pdf), width), np.float32)
                 here = (term >= t) & (term < t + width)
