@@ -166,30 +166,44 @@ def confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * PERCENT).select("a", "b")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether no vertex has two edges (a, b) as a, or is a of one and b of another."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("low")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("low")))
+    tangled = ends.groupBy("v").agg(F.sum("low").alias("n"), F.min("low").alias("least")).filter("n > least")
+    return not tangled.limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(vid, root) of every vertex with an edge (a, b): root is the smallest vertex reachable.
 
-    Alternating large-star and small-star steps; edges stay as many as vertices, and none is collected.
+    Alternating large-star and small-star steps until a large-star step leaves stars only; edges stay as many as
+    vertices, and none is collected.
     """
     now = spool(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = spool(large)
+        if _stars(large):
+            break
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("x"), "a", "m")
         small = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         now = spool(small)
-        new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if new == mark:
-            break
-        mark = new
-    roots = now.select(F.col("a").alias("vid"), F.col("b").alias("root"))
+    roots = large.select(F.col("a").alias("vid"), F.col("b").alias("root"))
     return spool(roots.unionByName(roots.select(F.col("root").alias("vid"), "root")).distinct())
 
 
+def _join_components(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """components() of former ones, if there are any, and new links; these are first moved to the roots."""
+    if roots is None:
+        return components(links)
+    name = lambda x: roots.select(F.col("vid").alias(x), F.col("root").alias(f"root_{x}"))
+    moved = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    return components(moved.unionByName(roots.select(F.col("vid").alias("a"), F.col("root").alias("b"))))
+
+
 def _open_buckets(member: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Members with their component's root, and the buckets of several components with core, their main one's root."""
     left = member.withColumn("root", F.col("vid")) if roots is None else spool(member.join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid")))
@@ -263,7 +277,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = reps.join(weight, "vid", "left_semi").select("vid", "doc")
     sets = spool(full_sets(docs, wanted))
     member = spool(member.join(weight, "vid").select("key", "vid", "w"))
-    links = roots = None
+    roots = None
     for star in range(STARS + 1):
         left, mixed = _open_buckets(member, roots)
         if not mixed.limit(1).count():
@@ -277,11 +291,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             found = confirm(spool(pairs), reps, sets)
         else:
             found = _compare_blocks(left, mixed, reps, sets)
-        found = spool(found)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+        roots = _join_components(roots, spool(found))
     classes = reps.select("vid", "doc")
-    if links is None:
+    if roots is None:
         named = classes.withColumnRenamed("doc", "component_id")
     else:
         linked = roots.join(classes, "vid")

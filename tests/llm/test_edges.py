@@ -47,6 +47,15 @@ def test_near_dedup_keeps_one(docs):
     assert sorted(ids, key=str) == sorted([1, 3, 4, None, 5, 6, 7, *([2] if 2 in ids else [])], key=str)
 
 
+@pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(-9, 9)], [(0, i) for i in range(1, 9)] + [(8, 20), (20, -5)], [(1, 1)]], ids=["path", "star", "loop"])
+def test_components(spark, edges):
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    want = {v: min(min(e) for e in edges) for e in edges for v in e} if len(edges) > 1 else {}
+    assert {r.vid: r.root for r in near_dedup.components(frame(edges)).collect()} == want
+    half = near_dedup._join_components(None, frame(edges[::2]))
+    assert {r.vid: r.root for r in near_dedup._join_components(half, frame(edges[1::2])).collect()} == want
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, "under the mit license word1 under the mit license"), (2, "One LINE"), (3, None), (4, "!!"), (5, "line here")], "item_id long, text string")
     got = sorted(map(tuple, decontaminate.digest(decontaminate.search(docs, bench)).collect()), key=str)
