@@ -18,6 +18,7 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -133,17 +134,19 @@ def scan(text: str | None) -> tuple[int, list[int], list[str], list[str], float,
     if not _HINT.search(line):
         return len(words), [], [], [], 0.0, []
     keywords, by, base = _compiled()
+    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    before = lambda at: int(blanks.searchsorted(at))
     places, base_labels = [], set()
     for rx, label in base:
         for m in rx.finditer(line):
-            places.append(line.count(b" ", 0, m.start()))
+            places.append(before(m.start()))
             base_labels.add(label)
     found = []
     for kw in set(keywords.findall(line)):
         for rule, rx in by[kw]:
             for m in rx.finditer(line):
-                start = line.count(b" ", 0, m.start()) - 1
-                found.append((rule.priority, -(m.end() - m.start()), start, start + line.count(b" ", m.start(), m.end()) + 1, rule.label, rule.confidence))
+                start = before(m.start()) - 1
+                found.append((rule.priority, -(m.end() - m.start()), start, before(m.end()), rule.label, rule.confidence))
     kept: list[tuple] = []
     for d in sorted(found):
         if not any(k[2] <= d[2] and d[3] <= k[3] for k in kept):
