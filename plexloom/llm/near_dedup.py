@@ -7,10 +7,10 @@ in a band of registers are candidates; their similarity is estimated by joint li
 greater, smaller and equal, far ones go, and the rest are confirmed on their full sets.
 
 A band's bucket never gives all its pairs.  Each of STARS rounds pairs a bucket's members with one centre only, the one
-that is in the fullest buckets, and confirmed links merge classes into components; the next round takes only buckets
-that still hold several components.  At last, in these, each member outside the bucket's main component is held against
-the others on full sets, in blocks of bounded size, and only links that merge components come out; so no candidate is
-lost.  At similarity 0.75 a pair shares no band with probability 5e-6; the estimate's margin is over four standard
+that is in the fullest buckets, and confirmed links merge classes into components; the centre, held against all others,
+leaves its bucket, and the next round takes only buckets that still hold several components.  At last, in these, each
+member outside the bucket's main component is held against the others on full sets, in blocks of bounded size, and only
+links that merge components come out; so no candidate is lost.  At similarity 0.75 a pair shares no band with probability 5e-6; the estimate's margin is over four standard
 deviations.
 
 Defined cases: a null or blank text has the empty set and is linked with nothing; fewer than five words are one
@@ -204,20 +204,23 @@ def _join_components(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return components(moved.unionByName(roots.select(F.col("vid").alias("a"), F.col("root").alias("b"))))
 
 
-def _open_buckets(member: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Members with their component's root, and the buckets of several components with core, their main one's root."""
-    left = member.withColumn("root", F.col("vid")) if roots is None else spool(member.join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid")))
+def _open_buckets(member: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Members (key, vid, w, root, core) of the buckets of several components; core is the bucket's main one's root."""
+    left = member.withColumn("root", F.col("vid"))
+    if roots is not None:
+        left = member.join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+    left = spool(left)
     per = left.groupBy("key", "root").agg(F.count("*").alias("c"))
-    mixed = per.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.max_by("root", F.struct("c", "root")).alias("core")).filter("k > 1")
-    return left, spool(mixed)
+    mixed = per.groupBy("key").agg(F.count("*").alias("k"), F.max_by("root", F.struct("c", "root")).alias("core")).filter("k > 1")
+    return spool(left.join(mixed.select("key", "core"), "key"))
 
 
-def _compare_blocks(left: DataFrame, mixed: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+def _compare_blocks(left: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between the members outside their bucket's main component and all its other members.
 
     A bucket is one block unless it has too many members or shingles; then the blocks of both sides are paired.
     """
-    rows = left.join(mixed.select("key", "core"), "key").join(reps.select("vid", "n"), "vid").withColumn("odd", F.col("root") != F.col("core"))
+    rows = left.join(reps.select("vid", "n"), "vid").withColumn("odd", F.col("root") != F.col("core"))
     parts = lambda c: F.ceil(F.greatest(F.count(c) / BLOCK_ROWS, F.sum(F.when(c.isNotNull(), F.col("n"))) / BLOCK_SHINGLES)).cast("int")
     sizes = spool(rows.groupBy("key").agg(parts(F.lit(1)).alias("nr"), parts(F.when(F.col("odd"), 1)).alias("nl")))
     rows = rows.join(sizes, "key").select("key", "vid", "root", "odd", "nl", "nr")
@@ -277,21 +280,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = reps.join(weight, "vid", "left_semi").select("vid", "doc")
     sets = spool(full_sets(docs, wanted))
     member = spool(member.join(weight, "vid").select("key", "vid", "w"))
-    roots = None
+    roots, left = None, member.withColumn("root", F.col("vid"))  # at first every bucket holds several components
     for star in range(STARS + 1):
-        left, mixed = _open_buckets(member, roots)
-        if not mixed.limit(1).count():
-            break
         if star < STARS:
-            left = left.join(mixed.select("key", "core"), "key")
-            centre = left.filter("root <> core").groupBy("key").agg(F.max_by(F.struct("vid", "root"), F.struct("w", "vid")).alias("m"))
-            if not star:  # nothing is linked yet
-                centre = left.groupBy("key").agg(F.max_by(F.struct("vid", "root"), F.struct("w", "vid")).alias("m"))
-            pairs = left.join(centre, "key").filter("root <> m.root").select(F.least("vid", "m.vid").alias("a"), F.greatest("vid", "m.vid").alias("b")).distinct()
-            found = confirm(spool(pairs), reps, sets)
+            centre = left.filter("root <> core") if star else left
+            centre = spool(centre.groupBy("key").agg(F.max_by(F.struct("vid", "root"), F.struct("w", "vid")).alias("m")))
+            left = left.join(centre, "key")
+            pairs = left.filter("root <> m.root").select(F.least("vid", "m.vid").alias("a"), F.greatest("vid", "m.vid").alias("b")).distinct()
+            found = spool(confirm(spool(pairs), reps, sets))
+            member = left.filter("vid <> m.vid").select("key", "vid", "w")
         else:
-            found = _compare_blocks(left, mixed, reps, sets)
-        roots = _join_components(roots, spool(found))
+            found = spool(_compare_blocks(left, reps, sets))
+        if found.limit(1).count():
+            roots = _join_components(roots, found)
+        if star < STARS:
+            left = _open_buckets(member, roots)
+            if not left.limit(1).count():
+                break
     classes = reps.select("vid", "doc")
     if roots is None:
         named = classes.withColumnRenamed("doc", "component_id")
