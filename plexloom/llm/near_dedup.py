@@ -26,11 +26,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexloom.llm.common import blank_words, map_batches, spool
+from plexloom.llm.common import map_batches, spool
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -43,23 +42,18 @@ ESTIMATE = 0.55
 STARS = 2
 #: Members and shingles of a block in which full sets are compared.
 BLOCK_ROWS, BLOCK_SHINGLES = 3_000, 1_500_000
-#: Distinct words whose hash a worker remembers.
-CACHE = 500_000
+#: Bytes of text that are hashed at once; a longer word makes its block longer.
+BLOCK_BYTES = 1_000_000
 
 _rng = np.random.default_rng(90125)
 _MULTIPLY = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-
-
-class WordHash(dict):
-    """64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
+#: A word's hash is the sum of its bytes' codes times powers of an odd number, modulo 2**64, then mixed.
+_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_POWER, _INVERSE = np.uint64(0xD1342543DE82EF95), np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,32 +62,77 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class WordHash:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of a text in UTF-8, in order; equal words have equal hashes."""
+
+    def __init__(self) -> None:
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def _grow(self, size: int) -> None:
+        if len(self.powers) <= size:
+            ones = np.ones(2 * size + 1, np.uint64)
+            ones[1:] = _POWER
+            self.powers = np.multiply.accumulate(ones)
+            ones[1:] = _INVERSE
+            self.inverses = np.multiply.accumulate(ones)
+
+    def _block(self, raw: np.ndarray, blank: np.ndarray) -> np.ndarray:
+        self._grow(len(raw))
+        edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+        start, end = edge[::2], edge[1::2]
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_CODE[raw] * self.powers[: len(raw)], out=total[1:])
+        return _mix((total[end] - total[start]) * self.inverses[start])
+
+    def words(self, text: str | None) -> np.ndarray:
+        raw = np.frombuffer(text.encode("utf-8", "replace").lower() if text else b"", np.uint8)
+        blank = _BLANK[raw]
+        if len(raw) <= BLOCK_BYTES:
+            return self._block(raw, blank) if len(raw) else np.zeros(0, np.uint64)
+        cuts, at = np.flatnonzero(blank), 0
+        out = []
+        while at < len(raw):
+            k = np.searchsorted(cuts, at + BLOCK_BYTES)
+            to = int(cuts[k]) if k < len(cuts) else len(raw)
+            out.append(self._block(raw[at:to], blank[at:to]))
+            at = to
+        return np.concatenate(out)
+
+
 def shingle_set(text: str | None, hashes: WordHash) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
-    words = blank_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = hashes.words(text)
+    if not len(h):
+        return h
     span = min(SHINGLE, len(h))
     out = np.full(len(h) - span + 1, np.uint64(span))
     for k in range(span):
-        out = _mix(out * _PRIME + h[k : len(h) - span + 1 + k])
-    return np.unique(out)
+        out *= _PRIME
+        out += h[k : len(h) - span + 1 + k]
+    out = np.sort(_mix(out))
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-def registers(own: np.ndarray) -> np.ndarray:
+def minima(own: np.ndarray) -> np.ndarray:
+    """The least hash of a set, not empty, under each register's permutation."""
     least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(own), 2048):
-        np.minimum(least, (own[i : i + 2048, None] * _MULTIPLY + _ADD).min(axis=0), out=least)
+    for i in range(0, len(own), 512):
+        np.minimum(least, (own[i : i + 512, None] * _MULTIPLY + _ADD).min(axis=0), out=least)
+    return least
+
+
+def registers(least: np.ndarray) -> np.ndarray:
+    """Registers from minima, of one set or of many in rows."""
     x = -np.log1p(-((least >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / RATE
     return np.clip(np.floor(1 - np.log(x) / math.log(BASE)), 0, LIMIT + 1).astype(np.uint16)
 
 
-def bands(regs: np.ndarray) -> list[int]:
-    key = np.arange(BANDS, dtype=np.uint64)
+def bands(regs: np.ndarray) -> np.ndarray:
+    """Keys of the bands, of registers of many sets in rows."""
+    key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(regs), 1))
     for k in range(ROWS):
-        key = _mix(key * _PRIME + regs.reshape(BANDS, ROWS)[:, k].astype(np.uint64))
-    return key.view(np.int64).tolist()
+        key = _mix(key * _PRIME + regs.reshape(-1, BANDS, ROWS)[:, :, k].astype(np.uint64))
+    return key.view(np.int64)
 
 
 def _vertex(own: np.ndarray) -> int:
@@ -107,11 +146,13 @@ def sketches(docs: DataFrame) -> DataFrame:
         hashes = WordHash()
         for batch in batches:
             sets = [shingle_set(t, hashes) for t in batch.column(1).to_pylist()]
-            regs = [registers(s) if len(s) else None for s in sets]
+            regs = registers(np.array([minima(s) for s in sets], np.uint64).reshape(-1, REGISTERS))
+            keys, full = bands(regs), np.array([len(s) > 0 for s in sets], bool)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(full * BANDS))), pa.int32(), mask=np.concatenate((~full, [False])))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([_vertex(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([None if r is None else r.tobytes() for r in regs], pa.binary()), pa.array([None if r is None else bands(r) for r in regs], pa.list_(pa.int64())),
+                    pa.array([r.tobytes() if f else None for r, f in zip(regs, full, strict=True)], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys[full].ravel(), pa.int64())),
                 ],
                 names=["doc_id", "vid", "n", "regs", "bands"],
             )
