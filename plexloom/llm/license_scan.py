@@ -71,7 +71,7 @@ SENTENCES = [
     ("granted", r"permission is hereby granted free of charge to any person obtaining a copy", "mit", 1.0),
     ("redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", "bsd", 1.0),
     ("purpose", r"permission to use copy modify and or distribute this software for any purpose", "isc", 1.0),
-    ("encumbered", r"this is free and unencumbered software released into the public domain", "unlicense", 1.0),
+    ("unencumbered", r"this is free and unencumbered software released into the public domain", "unlicense", 1.0),
     ("domain", r"(?:released|dedicated|placed) (?:in)?to the public domain", "public-domain", 0.9),
     ("reserved", r"all rights reserved", "proprietary", 0.6),
     ("proprietary", r"proprietary and confidential", "proprietary", 0.9),
