@@ -282,6 +282,23 @@ def _(s, d):
     return enrich.resolve_calls(calls, symbols, s.createDataFrame([], "file string, module_path string"))
 
 
+@add("call_resolution_all", "WITH s AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'own' || c_custkey ELSE 'run' || (c_custkey % 50) END AS name FROM customer), u AS (SELECT name FROM s GROUP BY 1 HAVING count(*) = 1)"
+     " SELECT o_orderkey AS call_id, CAST(o_custkey AS VARCHAR) AS target, CASE left(o_orderpriority, 1) WHEN '1' THEN 'receiver' WHEN '2' THEN 'import' WHEN '3' THEN 'container' WHEN '4' THEN 'suffix' ELSE 'unique' END AS strategy FROM orders JOIN s ON c_custkey = o_custkey WHERE o_orderpriority <> '5-LOW' OR name IN (SELECT name FROM u)")
+def _(s, d):
+    """All orders as calls of their customer's symbol; the priority says by what it can be known: its receiver, its file's
+    import, its container, its dotted name, or the name alone, which leaves a call of a shared name unresolved."""
+    key = F.col("c_custkey").cast("string")
+    own = F.when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("own"), key)).otherwise(F.concat(F.lit("run"), F.pmod("c_custkey", F.lit(50)).cast("string")))
+    customers = t(s, d, "customer").select("c_custkey", key.alias("id"), F.concat(F.lit("m"), key).alias("type"), own.alias("name")).withColumn("container", F.concat_ws(".", F.lit("pkg"), "type"))
+    symbols = customers.select("id", F.lit("f").alias("file"), "container", "name", F.concat_ws(".", "container", "name").alias("qualified_name"))
+    kind, other = F.substring("o_orderpriority", 1, 1), F.concat(F.lit("pkg.m"), (F.col("o_custkey") + 50).cast("string"))  # often of the same name, but not the one meant
+    calls = t(s, d, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("call_id"), F.when(kind == "2", F.concat(F.lit("g"), "id")).otherwise("f").alias("file"), F.when(kind == "3", F.col("container")).when(kind.isin("1", "2"), other).alias("container"),
+        F.when(kind == "4", F.concat_ws(".", "type", "name")).otherwise(F.col("name")).alias("name"), F.when(kind == "1", F.col("type")).when(kind == "5", F.lit("absent")).alias("receiver"),
+    )
+    return enrich.resolve_calls(calls, symbols, customers.select(F.concat(F.lit("g"), "id").alias("file"), F.col("container").alias("module_path")))
+
+
 @add("set_diff_files", "SELECT coalesce(a.doc_id, b.doc_id) AS path, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS change FROM (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN lang ELSE text END) AS h FROM documents WHERE doc_id % 3 <> 0) b ON a.doc_id = b.doc_id")
 def _(s, d):
     from plexloom.sources.store import classify_files
