@@ -233,6 +233,18 @@ def _(s, d):
     return enrich.cross_routes(g.filter("page_id % 50 = 0").withColumnRenamed("page_id", "caller"), g.withColumnRenamed("page_id", "handler"))
 
 
+_P = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '\$?\{[^}/]*\}|<[^>/]*>|:[A-Za-z_][A-Za-z0-9_]*', '{}', 'g'), '(.)/+$', '\1')"
+
+
+@add("cross_route_link_all", f"WITH p AS (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, CASE WHEN {_P} = '' THEN '/' ELSE {_P} END AS path FROM pages)"
+     " SELECT a.page_id AS caller, a.host AS project, b.host AS remote, min(b.page_id) AS handler, 0 AS priority FROM p a JOIN p b ON a.path = b.path AND a.host <> b.host GROUP BY 1, 2, 3")
+def _(s, d):
+    """Every page is linked on its whole path, with the first page of each other host that has it."""
+    host = F.element_at(F.split(F.element_at(F.split("url", "://"), 2), "/"), 1)
+    p = t(s, d, "pages").select("page_id", host.alias("project"), F.lit("GET").alias("method"), enrich.canonical_route(F.col("url")).alias("path"))
+    return enrich.cross_routes(p.withColumnRenamed("page_id", "caller"), p.groupBy("project", "method", "path").agg(F.min("page_id").alias("handler")))
+
+
 @add("data_flows", "SELECT DISTINCT 'customer:' || a.c_custkey AS source, 'supplier:' || s_suppkey AS target, 'nation:' || c_nationkey AS route FROM customer a JOIN supplier ON s_nationkey = c_nationkey")
 def _(s, d):
     e = commerce(s, d, {"Nation"}, {"IN_NATION"}).edges

@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 
 from plexloom.operators import enrich
-from plexloom.plans.queries import QUERIES
+from plexloom.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +31,18 @@ def test_resolution_cascade(spark):
     )
     want = {(1, "2", "receiver"), (2, "1", "container"), (3, "2", "import"), (4, "4", "container"), (5, "2", "suffix"), (7, "3", "unique"), (9, "4", "container")}
     assert set(map(tuple, got.collect())) == want
+
+
+def test_all_routes(spark, tmp_path):
+    """Whole paths are linked, of all ids, and not only their first segments."""
+    urls = ["http://a.org/fr/1?x=1", "https://b.org/fr/1#top", "http://b.org/fr/1/", "http://c.org/fr/2", "http://a.org/fr/2", "http://a.org/fr/1", "http://d.org", "http://e.org/?q", "http://a.org/u/{id}", "http://b.org/u/:key"]
+    spark.createDataFrame(list(enumerate(urls, 1)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.caller, r.handler) for r in QUERIES["cross_route_link_all"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 2), (6, 2), (2, 1), (3, 1), (4, 5), (5, 4), (7, 8), (8, 7), (9, 10), (10, 9)}
+
+
+def test_all_routes_of_table(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.01/pages.parquet'")
+    rows = con.execute(ORACLE_SQL["cross_route_link_all"]).fetchall()
+    assert len({r[0] for r in rows}) > 4 and sorted(rows) == sorted(tuple(r[c] for c in ("caller", "project", "remote", "handler", "priority")) for r in QUERIES["cross_route_link_all"](spark, "/root/testdata/sf0.01").collect())
