@@ -1,12 +1,20 @@
-"""Quantised vectors, semantic search and MinHash similarity, with array functions only."""
+"""Quantised vectors and semantic search with array functions; MinHash similarity in Arrow batches."""
 
 from __future__ import annotations
 
+import itertools
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEYWORDS, SLOTS = 32, 64
 BANDS, BAND_ROWS = 32, 2
+#: Signatures of queries broadcast at once (16 MB), and rows of one Arrow batch.
+QUERY_ROWS, ARROW_ROWS = 32_768, 512
 
 
 def quantise(c):
@@ -45,11 +53,56 @@ def trigrams(tokens):
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(tokens) - 2), lambda i: F.concat_ws(" ", F.slice(tokens, i, F.lit(3)))))
 
 
+#: What a token may be normalised to; a trigram weighs as many repetitions as it has other tokens.
+PLACEHOLDERS = ("I", "S", "N", "T")
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scramble of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _batches(df: DataFrame, fn, schema: str) -> DataFrame:
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df.mapInArrow(fn, schema)
+
+
 def minhash(docs: DataFrame, key: str, tokens, min_tokens: int = 30, min_unique: int = 32) -> DataFrame:
-    """(key, signature): SLOTS minima over distinct token trigrams, of rows with enough of both."""
-    held = docs.select(key, tokens.alias("t")).filter(F.size("t") >= min_tokens).select(key, trigrams(F.col("t")).alias("g")).filter(F.size("g") >= min_unique)
-    slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.array_min(F.transform("g", lambda g: F.xxhash64(g, i))))
-    return held.select(key, slots.alias("signature"))
+    """(key, signature): SLOTS minima over weighted token trigrams, of rows with enough tokens and distinct trigrams.
+
+    A trigram weighs its tokens other than PLACEHOLDERS, and gives one hash a slot for each; at weight 0 it is no trigram.
+    """
+    held = docs.select(key, tokens.alias("t")).filter(F.size("t") >= max(3, min_tokens))
+    hashed = held.select(key, F.transform("t", lambda x: F.xxhash64(x)).alias("h"), F.transform("t", lambda x: (~x.isin(*PLACEHOLDERS)).cast("tinyint")).alias("w"))
+    step = np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            ends = np.diff(lists.offsets.to_numpy()).cumsum()
+            h, w = _mix(lists.flatten().to_numpy().view(np.uint64)), batch.column(2).flatten().to_numpy()
+            own = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            tri, weight, row = _mix(_mix(h[:-2] + step) + h[1:-1] * np.uint64(3)) + h[2:], w[:-2] + w[1:-1] + w[2:], own[:-2]
+            good = (row == own[2:]) & (weight > 0)
+            tri, weight, row = tri[good], weight[good], row[good]
+            at = np.lexsort((tri, row))
+            at = at[np.append(True, (np.diff(row[at]) != 0) | (np.diff(tri[at]) != 0))] if len(at) else at
+            n = np.bincount(row[at], minlength=len(ends))
+            at = at[n[row[at]] >= min_unique]
+            tri, weight, row = tri[at], weight[at], row[at]
+            kept, starts = np.unique(row, return_index=True)
+            out = np.empty((len(kept), SLOTS), np.int64)
+            for i in range(SLOTS if len(kept) else 0):
+                best = np.full(len(tri), np.iinfo(np.uint64).max, np.uint64)
+                for r in range(3):
+                    seed = step * np.uint64(3 * i + r + 1)
+                    best = np.where(weight > r, np.minimum(best, _mix(tri ^ seed)), best)
+                out[:, i] = np.minimum.reduceat(best, starts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * SLOTS, pa.int32()), pa.array(out.ravel()))], names=[key, "signature"])
+
+    return _batches(hashed, run, f"`{key}` {docs.schema[key].dataType.simpleString()}, signature array<long>")
 
 
 def signature_similarity(a, b):
@@ -63,6 +116,66 @@ def similarity_search(signatures: DataFrame, key: str, origin, threshold: float
     return both.filter(F.col("similarity") >= threshold).select(key, "similarity").orderBy(F.desc("similarity"), key).limit(limit)
 
 
+def similar_pairs(queries: DataFrame, signatures: DataFrame, key: str, threshold: float = 0.95) -> DataFrame:
+    """(query, key, similarity): for each row of queries (key, signature), all other rows at least that alike.
+
+    At most SLOTS less the slots wanted differ, so of one band more than that at least one is equal: candidates are the
+    rows that share a band, and no pair is missed.  Queries are broadcast in blocks of QUERY_ROWS; each passes over all rows.
+    """
+    wanted = max(1, math.ceil(threshold * SLOTS - 1e-9))
+    bands = np.array_split(np.arange(SLOTS), SLOTS - wanted + 1)
+    kind = signatures.schema[key].dataType.simpleString()
+    schema = f"query {kind}, `{key}` {kind}, similarity double"
+
+    def search(block) -> DataFrame:
+        ids, sig = [r[0] for r in block], np.stack([r[1] for r in block])
+        held = signatures.sparkSession.sparkContext.broadcast((ids, sig))
+
+        def run(batches):
+            ids, sig = held.value
+            tables = []
+            for b in bands:
+                k = _band(sig, b)
+                order = np.argsort(k, kind="stable")
+                tables.append((b, order, k[order]))
+            for batch in batches:
+                own = batch.column(1).flatten().to_numpy().reshape(-1, SLOTS)
+                pairs = []
+                for b, order, sorted_keys in tables:
+                    k = _band(own, b)
+                    lo, hi = np.searchsorted(sorted_keys, k), np.searchsorted(sorted_keys, k, "right")
+                    n = hi - lo
+                    mine = np.repeat(np.arange(len(k)), n)
+                    pairs.append(mine * len(ids) + order[np.arange(n.sum()) - np.repeat(n.cumsum() - n, n) + np.repeat(lo, n)])
+                pairs = np.unique(np.concatenate(pairs))
+                for part in np.array_split(pairs, len(pairs) // 50_000 + 1):
+                    mine, his = np.divmod(part, len(ids))
+                    same = (own[mine] == sig[his]).sum(1)
+                    good = same >= wanted
+                    keys = batch.column(0).take(pa.array(mine[good]))
+                    query = pa.array([ids[i] for i in his[good]], keys.type)
+                    rows = pa.RecordBatch.from_arrays([query, keys, pa.array(same[good] / SLOTS)], names=["query", key, "similarity"])
+                    yield rows.filter(pc.not_equal(query, keys))
+
+        return _batches(signatures.select(key, "signature"), run, schema)
+
+    out, block = None, []
+    for row in itertools.chain(queries.select(key, "signature").toLocalIterator(), [None]):
+        if row is not None:
+            block.append((row[0], np.array(row[1], np.int64)))
+        if block and (row is None or len(block) == QUERY_ROWS):
+            found = search(block)
+            out, block = found if out is None else out.unionByName(found), []
+    return signatures.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def _band(sig: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    k = np.zeros(len(sig), np.uint64)
+    for c in columns:
+        k = _mix(k + sig[:, c].view(np.uint64))
+    return k
+
+
 def band_keys(signature):
     """LSH keys: one for each band of rows."""
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice(signature, b * BAND_ROWS + 1, F.lit(BAND_ROWS))))

@@ -214,8 +214,10 @@ def _(s, d):
 
 @add("minhash_similarity")
 def _(s, d):
-    sig = vectors.minhash(t(s, d, "documents"), "doc_id", search.tokens(F.col("text")))
-    return vectors.similarity_search(sig, "doc_id", sig.agg(F.min("doc_id")).first()[0], 0.01, 50)
+    """The documents whose id is divisible by 50 are the queries, and are searched among all documents."""
+    signed = lambda df: vectors.minhash(df, "doc_id", search.tokens(F.col("text")))
+    docs = t(s, d, "documents")
+    return vectors.similar_pairs(signed(docs.filter("doc_id % 50 = 0")), signed(docs), "doc_id")
 
 
 # -- enrichment

@@ -3,8 +3,10 @@
 from collections import Counter
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
-from plexloom.operators import enrich
+from plexloom.operators import enrich, search, vectors
 from plexloom.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +48,48 @@ def test_all_routes_of_table(spark):
     con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.01/pages.parquet'")
     rows = con.execute(ORACLE_SQL["cross_route_link_all"]).fetchall()
     assert len({r[0] for r in rows}) > 4 and sorted(rows) == sorted(tuple(r[c] for c in ("caller", "project", "remote", "handler", "priority")) for r in QUERIES["cross_route_link_all"](spark, "/root/testdata/sf0.01").collect())
+
+
+def brute(sig, threshold, chosen):
+    rows = {r[0]: r[1] for r in sig.collect()}
+    like = lambda a, b: sum(x == y for x, y in zip(rows[a], rows[b], strict=True)) / 64
+    return {(a, b, like(a, b)) for a in rows if chosen(a) for b in rows if a != b and like(a, b) >= threshold}
+
+
+def test_similar_pairs_of_table(spark):
+    """Every id divisible by 50 is a query, and none of its neighbours is missed."""
+    d = "/root/testdata/sf0.01"
+    want = brute(vectors.minhash(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", search.tokens(F.col("text"))), 0.95, lambda i: i % 50 == 0)
+    got = [tuple(r) for r in QUERIES["minhash_similarity"](spark, d).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("threshold", [0.95, 0.5, 1.0, 0.0])
+def test_similar_pairs(spark, threshold, monkeypatch):
+    """Copies with a few words changed, at and around each threshold, and queries in several blocks."""
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 4)
+    body = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join([*body[: 400 - i], *[f"x{i}_{k}" for k in range(i)]])) for i in range(0, 120, 3)]
+    sig = vectors.minhash(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", search.tokens(F.col("text")))
+    want = brute(sig, threshold, lambda i: i % 2 == 0)
+    got = [tuple(r) for r in vectors.similar_pairs(sig.filter("doc_id % 2 = 0"), sig, "doc_id", threshold).collect()]
+    assert len(got) == len(want) and set(got) == want and (want or threshold == 1)
+
+
+def test_minhash_weights(spark):
+    """A trigram of two placeholders weighs 1, one without any 3; equal slots follow the weighted Jaccard likeness."""
+    heavy = lambda tag, n: [x for i in range(n) for x in (f"{tag}{i}a", f"{tag}{i}b", f"{tag}{i}c")]
+    light = lambda tag, n: [x for i in range(n) for x in ("I", "S", f"{tag}{i}")]
+    rows = [(1, heavy("h", 200) + light("p", 200)), (2, heavy("h", 200) + light("q", 200)), (3, heavy("g", 200) + light("p", 200)), (4, ["I"] * 100), (5, ["a"] * 29)]
+    got = {r.id: r.signature for r in vectors.minhash(spark.createDataFrame(rows, "id long, t array<string>"), "id", F.col("t")).collect()}
+    assert set(got) == {1, 2, 3}
+
+    def weights(tokens):
+        return {g: sum(x not in "IS" for x in g) for g in zip(tokens, tokens[1:], tokens[2:], strict=False) if any(x not in "IS" for x in g)}
+
+    w = {i: weights(tokens) for i, tokens in rows}
+    for a, b in ((1, 2), (1, 3), (2, 3)):
+        both = set(w[a]) | set(w[b])
+        true = sum(min(w[a].get(g, 0), w[b].get(g, 0)) for g in both) / sum(max(w[a].get(g, 0), w[b].get(g, 0)) for g in both)
+        assert abs(sum(x == y for x, y in zip(got[a], got[b], strict=True)) / 64 - true) < 0.2
+    assert sum(x == y for x, y in zip(got[1], got[2], strict=True)) > sum(x == y for x, y in zip(got[1], got[3], strict=True))
