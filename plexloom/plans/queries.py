@@ -126,6 +126,16 @@ def _(s, d):
     return out.withColumns({c: F.round(c, 4) for c in ("x", "y", "z", "size")})
 
 
+_KEPT = "SELECT id FROM (SELECT 'customer:' || c_custkey AS id FROM customer UNION ALL SELECT 'nation:' || n_nationkey FROM nation UNION ALL SELECT 'order:' || o_orderkey FROM orders UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier) ORDER BY id LIMIT 5000"
+
+
+@add("layout_coords_all", f"WITH m AS MATERIALIZED ({_KEPT}), k AS (SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS DOUBLE) AS i, CAST(count(*) OVER () AS DOUBLE) AS n FROM m), e AS (SELECT s, t FROM {_EDGES} WHERE s IN (SELECT id FROM m) AND t IN (SELECT id FROM m)), g AS (SELECT id, count(*) AS c FROM (SELECT s AS id FROM e UNION ALL SELECT t FROM e) GROUP BY 1),"
+     " y AS (SELECT k.*, 1 - 2 * (i + 0.5) / n AS h, i * (pi() * (3 - sqrt(5))) AS a FROM k) SELECT y.id, round(cos(a) * sqrt(1 - h * h) * cbrt(n), 4) AS x, round(h * cbrt(n), 4) AS y, round(sin(a) * sqrt(1 - h * h) * cbrt(n), 4) AS z, round(1 + ln(coalesce(c, 0) + 1.0), 4) AS size, coalesce(c, 0) AS degree, CAST(0 AS BIGINT) AS callers FROM y LEFT JOIN g ON y.id = g.id")
+def _(s, d):
+    """A view with more nodes than the budget, from 0.01 on."""
+    return summary.layout(_view(s, d)).withColumns({c: F.round(c, 4) for c in ("x", "y", "z", "size")})
+
+
 # -- search
 @add("search_filters", "SELECT 'customer:' || c_custkey AS id, n + 1 AS degree FROM (SELECT c_custkey, c_name, count(o_orderkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2) WHERE n + 1 >= 8 AND regexp_matches(c_name, '#0000.*[13579]$')")
 def _(s, d):
@@ -190,6 +200,15 @@ add("snippet_chunks", "SELECT item_id, CAST(i AS INTEGER) AS start, substr(text,
     lambda s, d: t(s, d, "benchmark").select("item_id", F.explode(text.chunks(F.col("text"), 256)).alias("c")).select("item_id", "c.start", "c.piece")
 )
 
+# the same over the corpus itself
+add("doc_frequency_idf_all", ORACLE_SQL["doc_frequency_idf"].replace("benchmark", "documents"))(lambda s, d: text.document_frequency(t(s, d, "documents"), "doc_id", search.tokens(F.col("text"))))
+add("tfidf_topk_all", ORACLE_SQL["tfidf_topk"].replace("benchmark", "documents").replace("item_id", "doc_id"))(
+    lambda s, d: text.top_terms(text.tfidf(t(s, d, "documents"), "doc_id", search.tokens(F.col("text"))), "doc_id", 3).withColumn("weight", F.round("weight", 5))
+)
+add("snippet_chunks_all", ORACLE_SQL["snippet_chunks"].replace("benchmark", "documents").replace("item_id", "doc_id"))(
+    lambda s, d: t(s, d, "documents").select("doc_id", F.explode(text.chunks(F.col("text"), 256)).alias("c")).select("doc_id", "c.start", "c.piece")
+)
+
 
 @add("tightest_span", "SELECT event_id AS path, k AS line, CASE WHEN k BETWEEN 10 AND 20 THEN 'in' WHEN k <= 50 THEN 'out' END AS span_id FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)")
 def _(s, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plexloom.operators import enrich, search, vectors
 from plexloom.plans.queries import ORACLE_SQL, QUERIES
+from tests.oracle import check
 
 SF = "/root/testdata/sf0.001"
 
@@ -93,3 +94,22 @@ def test_minhash_weights(spark):
         true = sum(min(w[a].get(g, 0), w[b].get(g, 0)) for g in both) / sum(max(w[a].get(g, 0), w[b].get(g, 0)) for g in both)
         assert abs(sum(x == y for x, y in zip(got[a], got[b], strict=True)) / 64 - true) < 0.2
     assert sum(x == y for x, y in zip(got[1], got[2], strict=True)) > sum(x == y for x, y in zip(got[1], got[3], strict=True))
+
+
+@pytest.mark.parametrize("name", ["doc_frequency_idf_all", "tfidf_topk_all", "snippet_chunks_all", "layout_coords_all"])
+def test_whole_corpus(spark, name):
+    assert check(QUERIES[name](spark, "/root/testdata/sf0.01"), ORACLE_SQL[name], "/root/testdata/sf0.01") is None
+
+
+def test_layout_budget(spark):
+    n = duckdb.sql("SELECT (SELECT count(*) FROM '/root/testdata/sf0.01/customer.parquet') + count(*) FROM '/root/testdata/sf0.01/orders.parquet'").fetchall()[0][0]
+    assert n > 5000 == QUERIES["layout_coords_all"](spark, "/root/testdata/sf0.01").count()
+
+
+def test_chunks_of_long_texts(spark):
+    """Every document is cut, the longest in more than a hundred pieces, and the pieces make up its text."""
+    texts = dict(duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    pieces = {}
+    for r in QUERIES["snippet_chunks_all"](spark, "/root/testdata/sf0.01").orderBy("doc_id", "start").collect():
+        pieces.setdefault(r.doc_id, []).append(r.piece)
+    assert {k: "".join(v) for k, v in pieces.items()} == texts and max(map(len, pieces.values())) > 100
