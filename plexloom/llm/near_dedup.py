@@ -26,8 +26,9 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plexloom.llm.common import map_batches, spool
 
@@ -310,8 +311,8 @@ def _compare_blocks(left: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFr
     return placed.join(sets, "vid").groupBy("key", "lb", "rb").applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of docs."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, vid, n, component_id, root), one row for each row of docs; root names the component, null for empty sets."""
     own = spool(sketches(docs))
     reps = spool(own.filter("n > 0 and doc_id is not null").groupBy("vid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")))
     member = reps.select("vid", F.explode("bands").alias("key"))
@@ -340,23 +341,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 break
     classes = reps.select("vid", "doc")
     if roots is None:
-        named = classes.withColumnRenamed("doc", "component_id")
+        named = classes.select("vid", F.col("doc").alias("component_id"), F.col("vid").alias("root"))
     else:
         linked = roots.join(classes, "vid")
         first = linked.groupBy("root").agg(F.min("doc").alias("first"))
-        named = classes.join(linked.join(first, "root").select("vid", "first"), "vid", "left").select("vid", F.coalesce("first", "doc").alias("component_id"))
+        named = classes.join(linked.join(first, "root").select("vid", "root", "first"), "vid", "left").select("vid", F.coalesce("first", "doc").alias("component_id"), F.coalesce("root", "vid").alias("root"))
     named = spool(named)
     # both sides are shuffled by vid alone, so adaptive execution splits a class of very many copies
-    out = own.filter("n > 0").select("doc_id", "vid", "n").join(named, "vid", "left").select("doc_id", "vid", "n", "component_id").unionByName(own.filter("n = 0").select("doc_id", "vid", "n", F.col("doc_id").alias("component_id")))
-    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    cols = ["doc_id", "vid", "n", "component_id", "root"]
+    empty = own.filter("n = 0").select("doc_id", "vid", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    out = own.filter("n > 0").select("doc_id", "vid", "n").join(named, "vid", "left").select(*cols).unionByName(empty)
+    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row for each row of docs."""
+    return _placed(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near duplicates; rows without a doc_id all stay."""
-    kept = spool(near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct())
-    one = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """docs with one row of each group of near duplicates: of its smallest doc_id, and of several such rows the one of
+    the smallest vid, then the smallest text and other columns.  Rows without a doc_id all stay; of rows without words
+    one of each doc_id stays.  Where ids are shared, rows are told apart by their sets, which are made anew."""
+    placed = spool(_placed(docs).filter("doc_id is not null").select("doc_id", "vid", "component_id", "root"))
+    kept = spool(placed.filter("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("vid").alias("__vid")).select(F.col("doc_id").alias("__id"), "__vid").distinct())
+    shared = spool(placed.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("c")).filter("c > 1").select("__id"))
+    none = docs.filter(F.col("doc_id").isNull())
+    if not shared.limit(1).count():
+        return docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").unionByName(none)
+    single = docs.join(kept.join(shared, "__id", "left_anti"), F.col("doc_id") == F.col("__id"), "left_semi")
+    names = docs.columns
+
+    def run(batches):
+        hashes = WordHash()
+        for batch in batches:
+            vids = [_vertex(shingle_set(t, hashes)) for t in batch.column(names.index("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vids, pa.int64())], names=[*names, "__own"])
+
+    several = docs.join(kept.join(shared, "__id", "left_semi"), F.col("doc_id") == F.col("__id"), "left_semi")
+    several = map_batches(several, run, T.StructType([*docs.schema.fields, T.StructField("__own", T.LongType())]))
+    several = several.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__vid")), "left_semi")
+    order = Window.partitionBy("doc_id", "__own").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    several = several.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r", "__own")
+    return single.unionByName(several).unionByName(none)
 
 
 #: DuckDB, over the view documents: all pairs that share a shingle, then the closure of their links.
