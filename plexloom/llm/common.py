@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; keeps a Python worker's memory bounded with long texts.
+#: Rows that a Python worker turns into objects at once; Spark bounds the bytes of the batches they are cut from
+#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB).
 ARROW_ROWS = 512
 #: Rows of a side that may be broadcast; a larger side is joined by a salted shuffle.
 BROADCAST_ROWS = 50_000
@@ -23,14 +26,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, or the one given to setCheckpointDir; where neither is set, a temporary one in
+    local mode (tests), and an error on a cluster, whose machines don't share such a folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="plexloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_made: ContextVar[list[str] | None] = ContextVar("spooled tables of the current scope", default=None)
+
+
+@contextmanager
+def spools():
+    """Collects the paths of the tables spooled inside, so that sweep() can delete them."""
+    token = _made.set(paths := [])
+    try:
+        yield paths
+    finally:
+        _made.reset(token)
+
+
 def spool(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
@@ -39,19 +58,26 @@ def spool(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plexloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (paths := _made.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete the tables this application has spooled; call it once results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/plexloom/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def sweep(spark: SparkSession, paths: list[str]) -> None:
+    """Delete spooled tables; call it once what was made from them is written."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with batches of at most ARROW_ROWS rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return df.mapInArrow(fn, schema)
+    """mapInArrow with batches of at most ARROW_ROWS rows; the session's settings stay as they are."""
+
+    def run(batches):
+        return fn(batch.slice(at, ARROW_ROWS) for batch in batches for at in range(0, batch.num_rows, ARROW_ROWS))
+
+    return df.mapInArrow(run, schema)
 
 
 def bounded_join(big: DataFrame, small: DataFrame, on: list[str], salt: str, how: str = "left") -> DataFrame:
@@ -72,6 +98,26 @@ def bounded_join(big: DataFrame, small: DataFrame, on: list[str], salt: str, how
     return big.join(right, cond, how).drop("__salt", "__salt2", *[f"__k{i}" for i in range(len(on))])
 
 
+#: A key with this share of all rows, or more, is hot; there are at most 1 / HOT of them.
+HOT = 1 / 2000
+
+
+def hot_keys(counts: DataFrame, key: str, total: int, least: int = 1000, count: str = "c") -> DataFrame:
+    """The hot keys of counts (key, count), of which count adds up to total at most: no more than 1 / HOT rows."""
+    return counts.filter(F.col(count) >= max(least, total * HOT)).select(key)
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, salt: str, how: str = "inner") -> DataFrame:
+    """Join big with small, unique in key, on key; big's rows of hot_keys() are dealt over all tasks by column salt, and
+    small's rows of them are copied, so that no key stays in one task."""
+    salts = min(4096, max(32, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    flags = F.broadcast(hot.select(key, F.lit(True).alias("__hot")))  # at most 1 / HOT rows
+    left = big.join(flags, key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(salt), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("__hot")
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    right = small.join(flags, key, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
 def held_out(doc_id) -> F.Column:
     """Rows that no classifier learns from: crc32 of the id as text is divisible by five."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0

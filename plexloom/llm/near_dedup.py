@@ -22,15 +22,17 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plexloom.llm.common import map_batches, spool
+from plexloom.llm.common import hot_keys, map_batches, salted_join, spool
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -50,11 +52,9 @@ _rng = np.random.default_rng(90125)
 _MULTIPLY = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-#: A word's hash is the sum of its bytes' codes times powers of an odd number, modulo 2**64, then mixed.
-_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWER, _INVERSE = np.uint64(0xD1342543DE82EF95), np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Words whose hashes a worker remembers, and the longest of them in bytes.
+CACHE, LONG_WORD = 300_000, 64
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,41 +63,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHash:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of a text in UTF-8, in order; equal words have equal hashes."""
+class WordHash(dict):
+    """word -> xxh3, 64 bits; words() gives those of the words [^\\x20\\x09-\\x0D]+ of a text in UTF-8, in order."""
 
-    def __init__(self) -> None:
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _grow(self, size: int) -> None:
-        if len(self.powers) <= size:
-            ones = np.ones(2 * size + 1, np.uint64)
-            ones[1:] = _POWER
-            self.powers = np.multiply.accumulate(ones)
-            ones[1:] = _INVERSE
-            self.inverses = np.multiply.accumulate(ones)
-
-    def _block(self, raw: np.ndarray, blank: np.ndarray) -> np.ndarray:
-        self._grow(len(raw))
-        edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
-        start, end = edge[::2], edge[1::2]
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_CODE[raw] * self.powers[: len(raw)], out=total[1:])
-        return _mix((total[end] - total[start]) * self.inverses[start])
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = h
+        return h
 
     def words(self, text: str | None) -> np.ndarray:
-        raw = np.frombuffer(text.encode("utf-8", "replace").lower() if text else b"", np.uint8)
-        blank = _BLANK[raw]
-        if len(raw) <= BLOCK_BYTES:
-            return self._block(raw, blank) if len(raw) else np.zeros(0, np.uint64)
-        cuts, at = np.flatnonzero(blank), 0
-        out = []
+        raw, at, out = text.encode("utf-8", "replace").lower() if text else b"", 0, []
         while at < len(raw):
-            k = np.searchsorted(cuts, at + BLOCK_BYTES)
-            to = int(cuts[k]) if k < len(cuts) else len(raw)
-            out.append(self._block(raw[at:to], blank[at:to]))
+            cut = _BLANK.search(raw, at + BLOCK_BYTES)
+            to = cut.start() if cut else len(raw)
+            block = raw[at:to].split()
+            out.append(np.fromiter(map(self.__getitem__, block), np.uint64, len(block)))
             at = to
-        return np.concatenate(out)
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingle_set(text: str | None, hashes: WordHash) -> np.ndarray:
@@ -136,12 +121,19 @@ def bands(regs: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _vertex(own: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _vertex(own: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
+def _names(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Both halves of the sets' names."""
+    halves = np.frombuffer(b"".join(map(_vertex, sets)), np.int64).reshape(-1, 2)
+    return [pa.array(halves[:, 0]), pa.array(halves[:, 1])]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, vid, n, regs, bands): vid names the set, n is its size."""
+    """(doc_id, h1, h2, n, regs, bands): h1 and h2 name the set, n is its size."""
 
     def run(batches):
         hashes = WordHash()
@@ -152,13 +144,25 @@ def sketches(docs: DataFrame) -> DataFrame:
             offsets = pa.array(np.concatenate(([0], np.cumsum(full * BANDS))), pa.int32(), mask=np.concatenate((~full, [False])))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array([_vertex(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column(0), *_names(sets), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([r.tobytes() if f else None for r, f in zip(regs, full, strict=True)], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys[full].ravel(), pa.int64())),
                 ],
-                names=["doc_id", "vid", "n", "regs", "bands"],
+                names=["doc_id", "h1", "h2", "n", "regs", "bands"],
             )
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, vid long, n long, regs binary, bands array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, h1 long, h2 long, n long, regs binary, bands array<long>")
+
+
+def classes(own: DataFrame) -> DataFrame:
+    """(vid, h1, h2, doc, n, regs, bands): one row for each set; vid is h1, or of sets that share h1 another number for
+    all but the first."""
+    found = spool(own.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")))
+    twins = spool(found.groupBy("h1").agg(F.count("*").alias("c")).filter("c > 1").select("h1"))
+    if not twins.limit(1).count():
+        return found.withColumn("vid", F.col("h1"))
+    rank = F.row_number().over(Window.partitionBy("h1").orderBy("h2"))
+    several = found.join(twins, "h1", "left_semi").withColumn("r", rank).withColumn("vid", F.when(F.col("r") == 1, F.col("h1")).otherwise(F.xxhash64("h1", "h2", "r"))).drop("r")
+    return spool(found.join(twins, "h1", "left_anti").withColumn("vid", F.col("h1")).unionByName(several))
 
 
 _GRID = np.linspace(0.0, 1.0, 101)
@@ -184,28 +188,35 @@ def _likely(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Se
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(vid, own): the shingle hashes of the classes in wanted (vid, doc)."""
-    want = wanted.select(F.col("vid").alias("want"), F.col("doc").alias("__doc"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(want, F.col("__id") == F.col("__doc")).select("want", "text")
+    """(vid, own): the shingle hashes of the classes in wanted (vid, h1, h2, doc)."""
+    want = wanted.select("vid", "h1", "h2", F.col("doc").alias("__doc"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(want, F.col("__id") == F.col("__doc")).select("vid", "h1", "h2", "text")
 
     def run(batches):
         hashes = WordHash()
         for batch in batches:
-            rows = [(w, s) for w, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if _vertex(s := shingle_set(t, hashes)) == w]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.int64()), pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64()))], names=["vid", "own"])
+            sets = [shingle_set(t, hashes) for t in batch.column(3).to_pylist()]
+            halves = [x.to_numpy() for x in _names(sets)]
+            at = np.flatnonzero((halves[0] == batch.column(1).to_numpy()) & (halves[1] == batch.column(2).to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([sets[i].view(np.int64) for i in at], pa.list_(pa.int64()))], names=["vid", "own"])
 
     return map_batches(texts, run, "vid long, own array<long>").dropDuplicates(["vid"])
 
 
 def confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """Links (a, b) of the pairs (c, v) of centre and member whose full sets are similar enough.
+
+    A member has few centres, so it is joined by itself; a centre of very many members is copied, and they are dealt by
+    salt, so its set is never repeated in a shuffle for each of them.
+    """
+    hot = spool(hot_keys(pairs.groupBy("c").agg(F.count("*").alias("n")), "c", pairs.count(), count="n"))
     side = lambda df, x, cols: df.select(F.col("vid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
-    near = pairs.join(side(reps, "a", ["n", "regs"]), "a").join(side(reps, "b", ["n", "regs"]), "b")
-    near = near.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT)
-    near = near.withColumn("likely", F.pandas_udf(_likely, "double")("regs_a", "regs_b", "n_a", "n_b")).filter(F.col("likely") >= ESTIMATE).select("a", "b", "n_a", "n_b")
-    both = near.join(side(sets, "a", ["own"]), "a").join(side(sets, "b", ["own"]), "b")
-    shared = F.size(F.array_intersect("own_a", "own_b"))
-    return both.filter(shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * PERCENT).select("a", "b")
+    near = salted_join(pairs.join(side(reps, "v", ["n", "regs"]), "v"), side(reps, "c", ["n", "regs"]), "c", hot, "v")
+    near = near.filter(F.least("n_c", "n_v") * 100 >= F.greatest("n_c", "n_v") * PERCENT)
+    near = near.withColumn("likely", F.pandas_udf(_likely, "double")("regs_c", "regs_v", "n_c", "n_v")).filter(F.col("likely") >= ESTIMATE).select("c", "v", "n_c", "n_v")
+    both = salted_join(near.join(side(sets, "v", ["own"]), "v"), side(sets, "c", ["own"]), "c", hot, "v")
+    shared = F.size(F.array_intersect("own_c", "own_v"))
+    return both.filter(shared * 100 >= (F.col("n_c") + F.col("n_v") - shared) * PERCENT).select(F.least("c", "v").alias("a"), F.greatest("c", "v").alias("b")).distinct()
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -219,18 +230,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(vid, root) of every vertex with an edge (a, b): root is the smallest vertex reachable.
 
     Alternating large-star and small-star steps until a large-star step leaves stars only; edges stay as many as
-    vertices, and none is collected.
+    vertices, and none is collected.  The edges of a vertex of very many are dealt by salt.
     """
     now = spool(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+
+    def least(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        n, per = df.count(), df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        return per.select("a", "m"), hot_keys(per, "a", n, 10_000)
+
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        per, hot = least(both)
+        large = salted_join(both, per.select("a", F.least("a", "m").alias("m")), "a", hot, "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = spool(large)
         if _stars(large):
             break
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("x"), "a", "m")
+        per, hot = least(large)
+        small = salted_join(large, per, "a", hot, "b").select(F.col("b").alias("x"), "a", "m")
         small = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         now = spool(small)
     roots = large.select(F.col("a").alias("vid"), F.col("b").alias("root"))
@@ -246,7 +262,7 @@ def _join_components(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return components(moved.unionByName(roots.select(F.col("vid").alias("a"), F.col("root").alias("b"))))
 
 
-def _open_buckets(member: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _open_buckets(member: DataFrame, roots: DataFrame | None, hot: DataFrame) -> DataFrame:
     """Members (key, vid, w, root, core) of the buckets of several components; core is the bucket's main one's root."""
     left = member.withColumn("root", F.col("vid"))
     if roots is not None:
@@ -254,10 +270,10 @@ def _open_buckets(member: DataFrame, roots: DataFrame | None) -> DataFrame:
     left = spool(left)
     per = left.groupBy("key", "root").agg(F.count("*").alias("c"))
     mixed = per.groupBy("key").agg(F.count("*").alias("k"), F.max_by("root", F.struct("c", "root")).alias("core")).filter("k > 1")
-    return spool(left.join(mixed.select("key", "core"), "key"))
+    return spool(salted_join(left, mixed.select("key", "core"), "key", hot, "vid"))
 
 
-def _compare_blocks(left: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+def _compare_blocks(left: DataFrame, reps: DataFrame, sets: DataFrame, hot: DataFrame) -> DataFrame:
     """Links (a, b) between the members outside their bucket's main component and all its other members.
 
     A bucket is one block unless it has too many members or shingles; then the blocks of both sides are paired.
@@ -265,7 +281,7 @@ def _compare_blocks(left: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFr
     rows = left.join(reps.select("vid", "n"), "vid").withColumn("odd", F.col("root") != F.col("core"))
     parts = lambda c: F.ceil(F.greatest(F.count(c) / BLOCK_ROWS, F.sum(F.when(c.isNotNull(), F.col("n"))) / BLOCK_SHINGLES)).cast("int")
     sizes = spool(rows.groupBy("key").agg(parts(F.lit(1)).alias("nr"), parts(F.when(F.col("odd"), 1)).alias("nl")))
-    rows = rows.join(sizes, "key").select("key", "vid", "root", "odd", "nl", "nr")
+    rows = salted_join(rows, sizes, "key", hot, "vid").select("key", "vid", "root", "odd", "nl", "nr")
     every = F.lit(0), F.col("nl") - 1
     right = rows.withColumn("rb", F.pmod(F.xxhash64("vid"), F.col("nr")).cast("int")).withColumn("lb", F.explode(F.sequence(*every))).withColumn("odd", F.lit(False))
     odd = rows.filter("odd").withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).withColumn("lb", F.pmod(F.xxhash64("vid"), F.col("nl")).cast("int"))
@@ -312,14 +328,17 @@ def _compare_blocks(left: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFr
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """(doc_id, vid, n, component_id, root), one row for each row of docs; root names the component, null for empty sets."""
+    """(doc_id, h1, h2, n, component_id, root), one row for each row of docs; root names the component, null for empty
+    sets."""
     own = spool(sketches(docs))
-    reps = spool(own.filter("n > 0 and doc_id is not null").groupBy("vid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")))
+    reps = classes(own)
     member = reps.select("vid", F.explode("bands").alias("key"))
-    shared = member.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    member = spool(member.join(shared, "key"))
+    shared = spool(member.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    total = shared.agg(F.sum("c")).first()[0] or 0
+    hot = spool(hot_keys(shared, "key", total))
+    member = spool(salted_join(member, shared, "key", hot, "vid"))
     weight = spool(member.groupBy("vid").agg(F.sum("c").alias("w")))
-    wanted = reps.join(weight, "vid", "left_semi").select("vid", "doc")
+    wanted = reps.join(weight, "vid", "left_semi").select("vid", "h1", "h2", "doc")
     sets = spool(full_sets(docs, wanted))
     member = spool(member.join(weight, "vid").select("key", "vid", "w"))
     roots, left = None, member.withColumn("root", F.col("vid"))  # at first every bucket holds several components
@@ -327,30 +346,30 @@ def _placed(docs: DataFrame) -> DataFrame:
         if star < STARS:
             centre = left.filter("root <> core") if star else left
             centre = spool(centre.groupBy("key").agg(F.max_by(F.struct("vid", "root"), F.struct("w", "vid")).alias("m")))
-            left = left.join(centre, "key")
-            pairs = left.filter("root <> m.root").select(F.least("vid", "m.vid").alias("a"), F.greatest("vid", "m.vid").alias("b")).distinct()
+            left = salted_join(left, centre, "key", hot, "vid")
+            pairs = left.filter("root <> m.root").select(F.col("m.vid").alias("c"), F.col("vid").alias("v")).distinct()
             found = spool(confirm(spool(pairs), reps, sets))
             member = left.filter("vid <> m.vid").select("key", "vid", "w")
         else:
-            found = spool(_compare_blocks(left, reps, sets))
+            found = spool(_compare_blocks(left, reps, sets, hot))
         if found.limit(1).count():
             roots = _join_components(roots, found)
         if star < STARS:
-            left = _open_buckets(member, roots)
+            left = _open_buckets(member, roots, hot)
             if not left.limit(1).count():
                 break
-    classes = reps.select("vid", "doc")
+    known = reps.select("vid", "h1", "h2", "doc")
     if roots is None:
-        named = classes.select("vid", F.col("doc").alias("component_id"), F.col("vid").alias("root"))
+        named = known.select("h1", "h2", F.col("doc").alias("component_id"), F.col("vid").alias("root"))
     else:
-        linked = roots.join(classes, "vid")
-        first = linked.groupBy("root").agg(F.min("doc").alias("first"))
-        named = classes.join(linked.join(first, "root").select("vid", "root", "first"), "vid", "left").select("vid", F.coalesce("first", "doc").alias("component_id"), F.coalesce("root", "vid").alias("root"))
+        first = spool(roots.join(known, "vid").groupBy("root").agg(F.min("doc").alias("first"), F.count("*").alias("c")))
+        linked = salted_join(roots, first.select("root", "first"), "root", hot_keys(first, "root", first.agg(F.sum("c")).first()[0]), "vid")
+        named = known.join(linked, "vid", "left").select("h1", "h2", F.coalesce("first", "doc").alias("component_id"), F.coalesce("root", "vid").alias("root"))
     named = spool(named)
-    # both sides are shuffled by vid alone, so adaptive execution splits a class of very many copies
-    cols = ["doc_id", "vid", "n", "component_id", "root"]
-    empty = own.filter("n = 0").select("doc_id", "vid", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
-    out = own.filter("n > 0").select("doc_id", "vid", "n").join(named, "vid", "left").select(*cols).unionByName(empty)
+    # both sides are shuffled by the set's name alone, so adaptive execution splits a class of very many copies
+    cols = ["doc_id", "h1", "h2", "n", "component_id", "root"]
+    empty = own.filter("n = 0").select("doc_id", "h1", "h2", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    out = own.filter("n > 0").select("doc_id", "h1", "h2", "n").join(named, ["h1", "h2"], "left").select(*cols).unionByName(empty)
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
 
@@ -361,10 +380,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near duplicates: of its smallest doc_id, and of several such rows the one of
-    the smallest vid, then the smallest text and other columns.  Rows without a doc_id all stay; of rows without words
+    the smallest set name, then the smallest text and other columns.  Rows without a doc_id all stay; of rows without words
     one of each doc_id stays.  Where ids are shared, rows are told apart by their sets, which are made anew."""
-    placed = spool(_placed(docs).filter("doc_id is not null").select("doc_id", "vid", "component_id", "root"))
-    kept = spool(placed.filter("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("vid").alias("__vid")).select(F.col("doc_id").alias("__id"), "__vid").distinct())
+    placed = spool(_placed(docs).filter("doc_id is not null").select("doc_id", "h1", "h2", "component_id", "root"))
+    kept = spool(
+        placed.filter("doc_id = component_id").groupBy("doc_id", "root").agg(F.min(F.struct("h1", "h2")).alias("k"))
+        .select(F.col("doc_id").alias("__id"), F.col("k.h1").alias("__h1"), F.col("k.h2").alias("__h2")).distinct()
+    )
     shared = spool(placed.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("c")).filter("c > 1").select("__id"))
     none = docs.filter(F.col("doc_id").isNull())
     if not shared.limit(1).count():
@@ -375,14 +397,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     def run(batches):
         hashes = WordHash()
         for batch in batches:
-            vids = [_vertex(shingle_set(t, hashes)) for t in batch.column(names.index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vids, pa.int64())], names=[*names, "__own"])
+            sets = [shingle_set(t, hashes) for t in batch.column(names.index("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_names(sets)], names=[*names, "__own1", "__own2"])
 
     several = docs.join(kept.join(shared, "__id", "left_semi"), F.col("doc_id") == F.col("__id"), "left_semi")
-    several = map_batches(several, run, T.StructType([*docs.schema.fields, T.StructField("__own", T.LongType())]))
-    several = several.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__vid")), "left_semi")
-    order = Window.partitionBy("doc_id", "__own").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    several = several.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r", "__own")
+    several = map_batches(several, run, T.StructType([*docs.schema.fields, T.StructField("__own1", T.LongType()), T.StructField("__own2", T.LongType())]))
+    several = several.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__own1") == F.col("__h1")) & (F.col("__own2") == F.col("__h2")), "left_semi")
+    order = Window.partitionBy("doc_id", "__own1", "__own2").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    several = several.withColumn("__r", F.row_number().over(order)).filter("__r = 1").drop("__r", "__own1", "__own2")
     return single.unionByName(several).unionByName(none)
 
 
