@@ -5,8 +5,8 @@ marks) and their pairs, hashed into 2**BITS bins.  Each is scaled by its class l
 model is fitted on the scaled, length-normalised rows by dual coordinate descent; a logistic map of its margin, fitted
 on the same rows, gives the score.
 
-The model is fitted on at most SAMPLE labelled rows that are not held out, chosen by a hash of the id; every whole text
-is scored.  Labels, lang, source and doc_id never enter a score.
+The model is fitted on at most SAMPLE labelled rows that are not held out, of at most SAMPLE_BYTES of features, chosen by
+a hash of the id; every whole text is scored.  Labels, lang, source and doc_id never enter a score.
 
 Defined cases: null, empty and blank texts have no n-gram and score like any text without a known one; unlabelled rows
 are scored only; labels that are null or of one class alone give a constant score; repeated rows score alike.
@@ -14,6 +14,7 @@ are scored only; labels that are null or of one class alone give a constant scor
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plexloom.llm.common import held_out, labelled_sample, map_batches
+from plexloom.llm.common import held_out, labelled_sample, map_batches, spool
 
-#: Bound of the fitting sample.
-SAMPLE = 6_000
+#: Bounds of the fitting sample: rows, and bytes of their features.
+SAMPLE, SAMPLE_BYTES = 6_000, 48_000_000
 BITS = 18
 #: A score from this on is predicted as 1.
 THRESHOLD = 0.3
@@ -94,20 +95,31 @@ def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost:
 
 
 def logistic_map(margin: np.ndarray, y01: np.ndarray) -> tuple[float, float]:
-    """a, b of 1 / (1 + exp(-(a margin + b))) by Newton steps on smoothed targets."""
+    """a, b of 1 / (1 + exp(-(a margin + b))) by Newton steps on smoothed targets, halved until the loss falls."""
     pos, neg = float(y01.sum()), float((1 - y01).sum())
     t = np.where(y01 > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
-    for _ in range(60):
+
+    def loss(a: float, b: float) -> float:
+        z = a * margin + b
+        return float((np.logaddexp(0, z) - t * z).sum())
+
+    a, b = 0.0, math.log((pos + 1) / (neg + 1))
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -35, 35)))
         g, s = p - t, np.maximum(p * (1 - p), 1e-9)
         haa, hab, hbb = float((s * margin * margin).sum()) + 1e-6, float((s * margin).sum()), float(s.sum()) + 1e-6
-        ga, gb, det = float((g * margin).sum()), float(g.sum()), 0.0
+        ga, gb = float((g * margin).sum()), float(g.sum())
         det = haa * hbb - hab * hab
         if det <= 0:
             break
-        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        a, b = a - np.clip(da, -5, 5), b - np.clip(db, -5, 5)
+        da, db, step, now = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det, 1.0, loss(a, b)
+        while step > 1e-4 and loss(a - step * da, b - step * db) > now:
+            step /= 2
+        if step <= 1e-4:
+            break
+        a, b = a - step * da, b - step * db
+        if max(abs(da), abs(db)) < 1e-6:
+            break
     return float(max(a, 0.0)), float(b)
 
 
@@ -147,17 +159,27 @@ class NBSVM:
         return float(1 / (1 + np.exp(-np.clip(self.a * self.margin(bins) + self.b, -35, 35))))
 
 
-def fitting_rows(docs: DataFrame, labels: DataFrame, label: str, make: Callable[[], Callable[[str | None], np.ndarray]], bound: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of the bounded sample, in the order of its ids; features are made on the executors."""
+def fitting_rows(docs: DataFrame, labels: DataFrame, label: str, make: Callable[[], Callable[[str | None], np.ndarray]], bound: int, most_bytes: int = SAMPLE_BYTES) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and labels of the bounded sample, in the order of a hash of its ids; features are made on the executors.
+
+    Rows are taken in that order until their features come to most_bytes; the driver takes no more."""
 
     def run(batches):
         of = make()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([of(t).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "y", "x"])
-
-    got = map_batches(labelled_sample(docs, labels, label, bound).select(F.col("doc_id").cast("string"), "text", "__y"), run, "id string, y int, x binary").collect()
-    got.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
-    return [np.frombuffer(bytes(r[2]), np.int32).astype(np.int64) for r in got], np.array([r[1] for r in got], np.int64)
+            made = [of(t).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(len, made), pa.int64()), pa.array(made, pa.binary())], names=["id", "y", "size", "x"])
+
+    rows = map_batches(labelled_sample(docs, labels, label, bound).select(F.md5(F.col("doc_id").cast("string")), "text", "__y"), run, "id string, y int, size long, x binary")
+    rows = spool(rows)
+    total, last = 0, ""
+    for r in sorted(rows.groupBy("id").agg(F.sum("size").alias("size")).collect()):  # at most `bound` ids
+        total += r["size"]
+        if total > most_bytes:
+            break
+        last = r["id"]
+    got = sorted((r[0], r[1], bytes(r[2])) for r in rows.filter(F.col("id") <= last).select("id", "y", "x").collect())
+    return [np.frombuffer(x, np.int32) for *_, x in got], np.array([y for _, y, _ in got], np.int64)
 
 
 def _features() -> Callable[[str | None], np.ndarray]:
