@@ -1,17 +1,23 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: lexicons of insults in several languages, forms of address, and patterns of writing.  A
-generative label model takes the votes: each voter has a rate of firing on toxic and on clean texts, found by EM with
-the label as one more voter; a voter that doesn't fire abstains, which is no evidence; voters that fire together beyond
-what the model explains share their weight (correlations).  A linear classifier is then trained on the posterior labels,
-over votes, words and beginnings of words, so that words and stems the lexicons don't hold are learnt; these need
-support in several rows.
-
-All is fitted on at most SAMPLE labelled rows that are not held out, chosen by a hash of the id; every whole text is
-scored.  Labels, lang, source and doc_id never enter a score.
-
-Defined cases: null and empty texts have no vote and no word and get the intercept's score; unlabelled rows are scored
-only; without labelled rows of both classes the label model starts from fixed rates; repeated rows score alike.
+Many voters look at a text and fire or abstain: lexicons of insults in several languages, forms of address and ways of
+writing, and patterns (words and beginnings of words) that are proposed from labelled rows, where they lean to toxic
+ones.  Labels only propose and vet voters, and later choose the threshold; they never vote.
+
+A generative label model is fitted on the votes alone, of labelled and unlabelled rows: by EM it estimates how often
+each voter fires on toxic and on clean texts, and so its accuracy, and in every round the correlations of voters within
+the classes; voters that fire together beyond what the classes explain share their weight.  That no voter fires at all
+is one more observation.  A linear classifier is trained on the posterior labels of these rows, over votes and all
+proposed patterns, also those that didn't become voters.
+
+What is fitted, is fitted on at most LABELLED labelled and UNLABELLED further rows, none held out, chosen by a hash of
+the id; what the driver takes is at most CANDIDATES patterns and their places in these rows.  Every whole text is scored.
+Labels, lang, source and doc_id never enter a score.
+
+Defined cases: null and empty texts have no vote and no pattern and get the intercept's score; unlabelled rows are
+scored only; of several labels of one id the greatest counts; without labels no pattern is proposed and the written
+voters alone are taken, unvetted; without toxic or without clean labels the threshold stays the label model's; without
+any row to fit on, each written voter weighs the same; repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -20,22 +26,28 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from plexloom.llm.common import plain_words
-from plexloom.llm.quality import add_score, fitting_rows
+from plexloom.llm.common import held_out, map_batches, plain_words
+from plexloom.llm.quality import add_score, logistic_map
 
-SAMPLE = 12_000
+#: Bounds of the rows that are fitted on.
+LABELLED, UNLABELLED = 10_000, 6_000
 THRESHOLD = 0.5
+#: Words and beginnings are counted in 2**BITS bins, so that counting takes bounded memory.
 BITS = 22
-#: Lengths of the word beginnings that are features beside whole words.
-STEMS = (3, 4, 5, 6, 7)
-#: Log-odds that a label of 1 or of 0 adds in the label model: the labels are one more voter.
-LABEL_ODDS = (7.0, -5.0)
-#: Toxic-leaning words of the classifier: rows of posterior toxicity they need, and their least log-odds.
-SUPPORT, ODDS = 5, 2.5
-MOST_WORDS = 4_000
+#: Lengths of the word beginnings that are patterns beside whole words; a pattern is one of these, found in as many
+#: words of a text as its level says.
+STEMS, LEVELS = (3, 4, 5, 6, 7), (1, 2, 3)
+#: Patterns need so many toxic rows and such log-odds; the most of them, and the most voters made of them.
+SUPPORT, ODDS, CANDIDATES, MOST_VOTERS = 5, 2.5, 4_000, 150
+#: Share of toxic rows among the labelled ones on which a voter fires, at least; overlap of two voters, at most.
+PRECISE, OVERLAP = 0.9, 0.8
+#: Rounds of EM before correlations are estimated; a correlation below NOISE counts as none.
+SETTLE, NOISE = 4, 0.1
 CACHE = 400_000
 
 # Lexicons, one voter each.
@@ -60,130 +72,218 @@ PATTERNS = {
     "nobody": r" (?:nobody|no one) (?:likes|wants|needs) you ",
     "all_of_you": r" (?:all of you|you people|those people) ",
 }
-VOTERS = [*LEXICONS, *PATTERNS, "twice", "shouting"]
+WRITTEN = [*LEXICONS, *PATTERNS, "twice", "shouting"]
 _LEX = {w.encode(): i for i, ws in reversed(list(enumerate(LEXICONS.values()))) for w in ws.split()}
 _RX = [re.compile(p.encode()) for p in PATTERNS.values()]
+_STARTS = {b"you", b"shut", b"nobody", b"no", b"get", b"go", b"all", b"those"}
 _MASK = (1 << BITS) - 1
 
 
-class _Names(dict):
-    """word -> bins of the word and of its beginnings; only those in `among` if it is given."""
+class _Patterns(dict):
+    """word -> bins of the word and its beginnings; only those of which `columns` holds some level, if it is given."""
 
-    def __init__(self, among: np.ndarray | None = None) -> None:
+    def __init__(self, columns: dict[int, int] | None = None) -> None:
         super().__init__()
-        self.among = among
+        self.columns = columns
+        self.bins = None if columns is None else {c // len(LEVELS) for c in columns}
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= CACHE:
             self.clear()
         letters = word.decode("utf-8", "replace")
-        made = [(xxhash.xxh3_64_intdigest(word) & _MASK) + len(VOTERS)]
-        made += [(xxhash.xxh3_64_intdigest(letters[:k].encode("utf-8"), seed=k) & _MASK) + len(VOTERS) for k in STEMS if len(letters) > k]
-        self[word] = out = tuple(b for b in made if self.among is None or self.among[b])
+        bins = [xxhash.xxh3_64_intdigest(word) & _MASK]
+        bins += [xxhash.xxh3_64_intdigest(letters[:k].encode("utf-8"), seed=k) & _MASK for k in STEMS if len(letters) > k]
+        out = tuple(bins) if self.bins is None else tuple(b for b in bins if b in self.bins)
+        if len(word) <= 64:
+            self[word] = out
         return out
 
+    def found(self, words: list[bytes]) -> list[int]:
+        """Patterns of a text as bin * len(LEVELS) + level, or as their columns."""
+        n: dict[int, int] = {}
+        for w in words:
+            for b in self[w]:
+                n[b] = n.get(b, 0) + 1
+        out = [b * len(LEVELS) + i for b, k in n.items() for i, level in enumerate(LEVELS) if k >= level]
+        return out if self.columns is None else [self.columns[x] for x in out if x in self.columns]
 
-def features(text: str | None, names: _Names) -> np.ndarray:
-    """Votes (voters that fire, from 0) and distinct bins of words (after them)."""
-    words = plain_words(text)
-    if not words:
-        return np.zeros(0, np.int64)
-    distinct = set(words)
+
+def written_votes(text: str, words: list[bytes], distinct: set[bytes]) -> set[int]:
     votes = {_LEX[w] for w in distinct if w in _LEX}
-    if b"you" in distinct or b"shut" in distinct or b"nobody" in distinct or b"get" in distinct or b"go" in distinct or b"those" in distinct:
+    if not distinct.isdisjoint(_STARTS):
         line = b" " + b" ".join(words) + b" "
         votes |= {len(LEXICONS) + k for k, rx in enumerate(_RX) if rx.search(line)}
-    hits = sum(w in _LEX for w in words)
-    votes |= {len(VOTERS) - 2} if hits >= 2 else set()
-    votes |= {len(VOTERS) - 1} if text.count("!") >= 3 and text.isupper() else set()
-    for w in distinct:
-        votes.update(names[w])
-    return np.fromiter(sorted(votes), np.int64, len(votes))
+    if votes and sum(w in _LEX for w in words) >= 2:
+        votes.add(len(WRITTEN) - 2)
+    if text.count("!") >= 3 and text.isupper():
+        votes.add(len(WRITTEN) - 1)
+    return votes
 
 
-def posterior(log: np.ndarray, y: np.ndarray) -> np.ndarray:
-    if len(set(y.tolist())) == 2:
-        log = log + np.where(y == 1, *LABEL_ODDS)
-    return 1 / (1 + np.exp(-np.clip(log, -35, 35)))
+def features(text: str | None, patterns: _Patterns) -> np.ndarray:
+    """Written voters that fire (from 0) and columns of patterns (after them), sorted."""
+    words = plain_words(text)
+    distinct = set(words)
+    votes = written_votes(text, words, distinct) if words else set()
+    return np.array(sorted(votes) + [len(WRITTEN) + c for c in sorted(patterns.found(words))], np.int64)
 
 
-def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """Rates of firing on toxic and clean rows, the prior, and the weight of each voter, by EM over 0/1 votes.
+def label_model(votes: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of each row, accuracy of each voter, correlations of the voters) of 0/1 votes, by EM on them alone.
 
-    y is one more voter, of fixed rates.  The weight is one
-    over the number of voters it is correlated with, by the residual correlation within the likelier class.
-    """
+    How a voter fires on toxic and on clean rows is estimated from what the other voters make of each row, less those
+    it is correlated with, so that no voter vouches for itself.  A voter is taken to be no worse than chance, which
+    settles which class is the toxic one."""
     n, k = votes.shape
-    prior, on, off, weight = 0.1, np.full(k, 0.3), np.full(k, 0.02), np.ones(k)
+    silent = ~votes.any(axis=1) if k else np.ones(n, bool)
+    prior, on, off, together, post = 0.1, np.full(k, 0.3), np.full(k, 0.01), np.eye(k, dtype=np.float32), np.full(n, 0.1)
+    quiet = np.log(0.05 / 0.9)
+    odds = lambda p: np.log(p / (1 - p))
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -35, 35)))
     for r in range(rounds):
-        log = np.log(prior / (1 - prior)) + votes @ (weight * np.log(on / off))
-        post = posterior(log, y)
-        on = np.clip((post @ votes + 0.2) / (post.sum() + 2), 1e-4, 1 - 1e-4)
-        off = np.clip(((1 - post) @ votes + 0.1) / ((1 - post).sum() + 10), 1e-5, 1 - 1e-4)
-        prior = float(np.clip(post.mean(), 0.005, 0.5))
-        if r == 9:
-            expected = post[:, None] * on + (1 - post[:, None]) * off
-            rest = votes - expected
-            sd = np.sqrt((rest**2).sum(axis=0)) + 1e-9
-            weight = 1 / (np.abs(rest.T @ rest / np.outer(sd, sd)) > 0.3).sum(axis=1).clip(1)
-    return on, off, prior, weight
+        # of voters that fire on a row, each counts one over the number of them that it goes along with
+        said = votes / np.maximum(votes @ together, 1) * np.maximum(np.log(on / off), 0)
+        new = sigmoid(odds(prior) + said.sum(axis=1) + silent * min(quiet, 0))
+        moved, post = float(np.abs(new - post).max(initial=0)), new
+        apart = np.clip(1 - together, 0, 1)
+        others = sigmoid(odds(prior) + said @ apart + np.clip(1 - votes @ apart, 0, 1) * min(quiet, 0)) * votes
+        bad, good = post.sum(), (1 - post).sum()
+        on, off = np.clip((others.sum(axis=0) + 0.1) / (bad + 1), 1e-4, 0.9999), np.clip(((votes - others).sum(axis=0) + 0.05) / (good + 10), 1e-5, 0.9999)
+        quiet = np.log((post[silent].sum() + 0.5) / (bad + 1)) - np.log(((1 - post)[silent].sum() + 0.5) / (good + 1))
+        prior = float(np.clip(post.mean(), 0.002, 0.5))
+        if r < SETTLE:  # correlations within classes that aren't known yet would be those between them
+            continue
+        rest = votes - (post[:, None] * on + (1 - post[:, None]) * off)
+        size = np.sqrt((rest**2).sum(axis=0)) + 1e-9
+        together = np.clip((np.abs(rest.T @ rest / np.outer(size, size)) - NOISE) / (1 - NOISE), 0, 1).astype(np.float32)
+        if moved < 1e-4:
+            break
+    return post, prior * on / (prior * on + (1 - prior) * off), together
 
 
 class ToxicityModel:
+    """Scores from columns of features(); columns gives the column of each pattern."""
+
+    def __init__(self, columns: dict[int, int] | None = None) -> None:
+        self.columns = columns or {}
+        self.weights, self.bias, self.a, self.b = np.full(len(WRITTEN) + len(self.columns), 0.0), -3.0, 1.0, 0.0
+        self.weights[: len(WRITTEN)] = 4.0
+        self.voters: list[int] = list(range(len(WRITTEN)))
+
     def fit(self, rows: list[np.ndarray], y: np.ndarray) -> ToxicityModel:
-        k = len(VOTERS)
-        self.weights, self.bias = np.zeros(k + (1 << BITS), np.float32), -3.0
+        """y is 1, 0 or -1 for rows without a label."""
         if not rows:
-            self.weights[:k] = 3.0
             return self
-        votes = np.zeros((len(rows), k))
-        for i, r in enumerate(rows):
-            votes[i, r[r < k]] = 1
-        on, off, prior, weight = label_model(votes, y)
-        log = np.log(prior / (1 - prior)) + votes @ (weight * np.log(on / off))
-        post = posterior(log, y)
-        size = k + (1 << BITS)
-        flat, own = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        good, bad = np.bincount(flat, 1 - post[own], size), np.bincount(flat, post[own], size)
-        lean = np.log((bad + 0.1) / (good + 0.1)) - np.log(post.sum() / (1 - post).sum())
-        chosen = np.flatnonzero((bad >= SUPPORT) & (lean >= ODDS))
-        chosen = np.unique(np.concatenate([np.arange(k), chosen[np.argsort(-bad[chosen], kind="stable")][:MOST_WORDS]]))
-        column = np.full(size, -1)
-        column[chosen] = np.arange(len(chosen))
-        keep = column[flat] >= 0
-        self._descend(column[flat[keep]], own[keep], post, len(rows), chosen)
+        size, n = len(self.weights), len(rows)
+        flat, own = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
+        self.voters = self._vetted(flat, own, y, size)
+        place = np.full(size, -1)
+        place[self.voters] = np.arange(len(self.voters))
+        votes = np.zeros((n, len(self.voters)), np.float32)
+        keep = place[flat] >= 0
+        votes[own[keep], place[flat[keep]]] = 1
+        self.posterior, self.accuracy, self.together = label_model(votes)
+        self._descend(flat, own, self.posterior, n)
+        known = y >= 0
+        if len(set(y[known].tolist())) == 2:
+            self.a, self.b = logistic_map(np.array([self.margin(r) for r, k in zip(rows, known, strict=True) if k]), y[known])
         return self
 
-    def _descend(self, cols: np.ndarray, own: np.ndarray, post: np.ndarray, n: int, chosen: np.ndarray) -> None:
-        """Logistic loss on posterior labels with a small L2 term, by accelerated gradient steps."""
-        w, b, count = np.zeros(len(chosen)), float(np.log(post.mean() / (1 - post.mean()))), np.bincount(cols, minlength=len(chosen)) + 1.0
-        vw, vb, step = np.zeros_like(w), 0.0, 1.0
+    def _vetted(self, flat: np.ndarray, own: np.ndarray, y: np.ndarray, size: int) -> list[int]:
+        """Voters: written ones unless labels speak against them, and precise patterns that fire on rows of their own."""
+        bad, good = np.bincount(flat[y[own] == 1], minlength=size), np.bincount(flat[y[own] == 0], minlength=size)
+        precise = bad >= PRECISE * (bad + good)
+        out = [k for k in range(len(WRITTEN)) if precise[k] or bad[k] + good[k] < SUPPORT]
+        toxic = np.flatnonzero(y == 1)
+        at = np.full(len(y), -1)
+        at[toxic] = np.arange(len(toxic))
+        fires = np.zeros((size, len(toxic)), np.float32)
+        here = at[own] >= 0
+        fires[flat[here], at[own[here]]] = 1
+        ranked = [k for k in np.argsort(-bad, kind="stable").tolist() if k >= len(WRITTEN) and precise[k] and bad[k] >= SUPPORT]
+        taken: list[int] = []
+        for k in ranked:
+            if len(taken) == MOST_VOTERS:
+                break
+            both = fires[taken] @ fires[k] if taken else np.zeros(0)
+            if not (both > OVERLAP * (bad[taken] + bad[k] - both)).any():
+                taken.append(k)
+        return out + taken
+
+    def _descend(self, cols: np.ndarray, own: np.ndarray, post: np.ndarray, n: int) -> None:
+        """Logistic loss on posterior labels with a small L2 term and weights from 0, by accelerated gradient steps."""
+        size, mean = len(self.weights), float(np.clip(post.mean(), 1e-4, 0.9999))
+        w, b, count = np.zeros(size), float(np.log(mean / (1 - mean))), np.bincount(cols, minlength=size) + 1.0
+        vw, vb = np.zeros(size), 0.0
         for _ in range(400):
             z = np.bincount(own, w[cols], n) + b
             g = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - post
-            gw = (np.bincount(cols, g[own], len(chosen)) + 0.5 * w) / np.sqrt(count * count.max())
-            vw, vb = 0.9 * vw - step * gw / 4, 0.9 * vb - step * g.mean()
+            gw = (np.bincount(cols, g[own], size) + 0.5 * w) / np.sqrt(count * count.max())
+            vw, vb = 0.9 * vw - gw / 4, 0.9 * vb - g.mean()
             w, b = np.maximum(w + vw, 0), b + vb
-        self.weights[chosen], self.bias = w, b
+        self.weights, self.bias = w, b
+
+    def margin(self, columns: np.ndarray) -> float:
+        return float(self.weights[columns].sum() + self.bias)
+
+    def score(self, columns: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.a * self.margin(columns) + self.b, -35, 35))))
+
+
+def sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> DataFrame:
+    """(text, y) of the rows to fit on: y is 1, 0 or, for rows taken without their label, -1.  The chosen ids, of which
+    the bounds are parameters, are broadcast, so documents are neither shuffled nor collected."""
+    order = F.md5(F.col("__id").cast("string"))
+    free = F.col("__id").isNotNull() & ~held_out(F.col("__id"))
+    known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("y")).filter(free & F.col("y").isin(0, 1)).orderBy(order, "y").limit(labelled)
+    other = docs.select(F.col("doc_id").alias("__id"), F.lit(-1).alias("y")).filter(free).orderBy(order).limit(unlabelled)
+    chosen = known.unionByName(other).groupBy("__id").agg(F.max("y").alias("y"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "y")
+
+
+def propose(rows: DataFrame) -> dict[int, int]:
+    """Patterns that lean to toxic rows of (text, y), with a column number each."""
+
+    def run(batches):
+        patterns, every = _Patterns(), (_MASK + 1) * len(LEVELS)
+        counts = np.zeros((2, every + 1), np.uint16)  # the last one counts the rows, which are fewer than 2**16
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[y, [*patterns.found(plain_words(text)), every]] += 1
+        at = np.flatnonzero(counts.any(axis=0))
+        for i in range(0, len(at), 100_000):
+            part = at[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0, part], pa.int64()), pa.array(counts[1, part], pa.int64())], names=["bin", "good", "bad"])
 
-    def score(self, bins: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.weights[bins].sum() + self.bias, -35, 35))))
+    last = (_MASK + 1) * len(LEVELS)
+    counted = map_batches(rows.filter("y >= 0"), run, "bin long, good long, bad long").groupBy("bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    all_ = counted.filter(F.col("bin") == last).select(F.col("good").alias("all_good"), F.col("bad").alias("all_bad"))
+    lean = F.log((F.col("bad") + 0.1) / (F.col("good") + 0.1)) - F.log((F.col("all_bad") + 0.1) / (F.col("all_good") + 0.1))
+    best = counted.filter((F.col("bin") < last) & (F.col("bad") >= SUPPORT)).crossJoin(F.broadcast(all_)).filter(lean >= ODDS)  # all_ is one row
+    return {r["bin"]: k for k, r in enumerate(best.orderBy(F.desc("bad"), "bin").limit(CANDIDATES).select("bin").collect())}
 
 
-def _features() -> Callable[[str | None], np.ndarray]:
-    names = _Names()
-    return lambda text: features(text, names)
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> ToxicityModel:
+    rows = sample(docs, labels, labelled, unlabelled)
+    columns = propose(rows)
 
+    def run(batches):
+        patterns = _Patterns(columns)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([features(t, patterns).astype(np.int16).tobytes() for t in batch.column(0).to_pylist()], pa.binary())], names=["y", "x"])
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> ToxicityModel:
-    return ToxicityModel().fit(*fitting_rows(docs, labels, "toxic", _features, bound))
+    # at most CANDIDATES numbers of two bytes a row
+    got = sorted((r[0], bytes(r[1])) for r in map_batches(rows, run, "y int, x binary").collect())
+    return ToxicityModel(columns).fit([np.frombuffer(x, np.int16).astype(np.int64) for _, x in got], np.array([y for y, _ in got], np.int64))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    slim = ToxicityModel(model.columns)
+    slim.weights, slim.bias, slim.a, slim.b = model.weights, model.bias, model.a, model.b
+    held = docs.sparkSession.sparkContext.broadcast(slim)
 
-    def make():
-        names = _Names(held.value.weights != 0)
-        return lambda text: held.value.score(features(text, names))
+    def make() -> Callable[[str | None], float]:
+        patterns = _Patterns({b: c for b, c in held.value.columns.items() if held.value.weights[len(WRITTEN) + c] > 0})
+        return lambda text: held.value.score(features(text, patterns))
 
     return add_score(docs, make)
