@@ -6,6 +6,9 @@ patterns is compiled to equi-joins of its own, then joined with the bindings on
 Semantics that differ from SQL: predicates are two-valued (null in a comparison gives false); text and numbers compare
 by the number in the text; ascending order puts nulls before texts and after anything else; SUM of nothing is 0; a
 variable-length segment uses an edge once, and gives a row for each trail.
+
+JSON properties have the type that each row gives them (functions/dynamic.py) and come out as VARIANT.  COLLECT gives
+its values in ascending order, as bindings have none.
 """
 
 from __future__ import annotations
@@ -13,25 +16,30 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.types import VariantVal
 
 from plexloom.cypher.parser import Chain, Clause, CypherError, Match, Query, parse_query
-from plexloom.functions.scalars import SCALARS, Value, as_text
+from plexloom.functions.dynamic import FLOATS, NUM, NUMERIC, Value, compare_dynamic, dynamic, is_dynamic, json_value, rest, sort_keys, to_variants, total
+from plexloom.functions.scalars import SCALARS
 from plexloom.graph import GraphView
 
-NUMERIC = (T.LongType, T.IntegerType, T.DoubleType, T.FloatType, T.ShortType, T.ByteType, T.DecimalType)
 NODE_ALIASES = {"node_id": "id", "project_id": "project", "qn": "qualified_name", "file": "file_path"}
 EDGE_ALIASES = {"source_id": "source", "target_id": "target", "type": "kind"}
 MAX_ROWS = 10_000
 
 
 def _family(t: T.DataType) -> str:
+    if is_dynamic(t):
+        return "dynamic"
     return "num" if isinstance(t, NUMERIC) else "str" if isinstance(t, T.StringType) else "bool" if isinstance(t, T.BooleanType) else "null" if isinstance(t, T.NullType) else "other"
 
 
-_ORDER = {"bool": 0, "num": 1, "other": 2, "null": 3, "str": 4}
+def _exact_bound(v: Value) -> bool:
+    """Whether v is a literal number that a double holds exactly."""
+    return v.kind == "literal" and abs(v.number) <= 2**53
 
 
 def compare(op: str, left: Value, right: Value) -> Column:
@@ -40,29 +48,26 @@ def compare(op: str, left: Value, right: Value) -> Column:
     if "null" in (a, b):
         return F.lit(False)
     if op in ("=~", "contains", "starts", "ends"):
-        if (a, b) != ("str", "str"):
+        l, r = (c["s"] if f == "dynamic" else c for c, f in ((l, a), (r, b)))
+        if not {a, b} <= {"str", "dynamic"}:
             return F.lit(False)
         out = {"=~": lambda: F.regexp(l, r), "contains": lambda: F.contains(l, r), "starts": lambda: F.startswith(l, r), "ends": lambda: F.endswith(l, r)}[op]()
         return F.coalesce(out, F.lit(False))
     calc = {"=": lambda x, y: x == y, "<>": lambda x, y: x != y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}[op]
-    if a == b and a != "other":
+    if a == b and a not in ("other", "dynamic"):
+        mixed = a == "num" and isinstance(left.type, FLOATS) != isinstance(right.type, FLOATS) and not _exact_bound(left) and not _exact_bound(right)
+        if mixed:  # an integer and a double that may not hold it
+            pair = lambda v: F.struct(v.col.cast("double").alias("d"), (F.lit(0).cast("long") if isinstance(v.type, FLOATS) else rest(v.col.cast("decimal(38,0)"), v.col.cast("double"))).alias("r"))
+            return F.coalesce(F.when(l.isNotNull() & r.isNotNull(), calc(pair(left), pair(right))), F.lit(False))
         return F.coalesce(calc(l, r), F.lit(False))
-    by_type = calc(F.lit(_ORDER[a]), F.lit(_ORDER[b]))
-    if {a, b} == {"num", "str"}:
-        plain = lambda c: F.when(c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), c.try_cast("double"))
-        x, y = (l.cast("double"), plain(r)) if a == "num" else (plain(l), r.cast("double"))
-        both = F.coalesce(calc(x, y), by_type)
-    elif a == b:
-        both = calc(as_text(left), as_text(right))
-    else:
-        both = by_type
-    return F.coalesce(F.when(l.isNotNull() & r.isNotNull(), both), F.lit(False))
+    return compare_dynamic(calc, dynamic(left), dynamic(right))
 
 
 @dataclass
 class Bindings:
     df: DataFrame
     kinds: dict[str, str]  # alias -> node, edge or value
+    maybe: frozenset[str] = frozenset()  # aliases that OPTIONAL MATCH may have left null
 
 
 class Compiler:
@@ -129,6 +134,13 @@ class Compiler:
         return out
 
     def join(self, left: Bindings, right: Bindings, how: str) -> Bindings:
+        """Join on shared aliases.  One that is null on the left, for want of an optional match, is bound anew."""
+        open_ = [a for a in right.kinds if a in left.maybe and a in left.kinds]
+        if open_ and how in ("inner", "left"):
+            alias, kinds = open_[0], left.kinds
+            held = self.join(Bindings(left.df.filter(F.col(alias).isNotNull()), kinds, left.maybe - {alias}), right, how)
+            free = self.join(Bindings(left.df.filter(F.col(alias).isNull()).drop(alias), {a: k for a, k in kinds.items() if a != alias}, left.maybe - {alias}), right, how)
+            return Bindings(held.df.unionByName(free.df, allowMissingColumns=True), held.kinds, held.maybe | free.maybe)
         shared = [a for a in right.kinds if a in left.kinds]
         df, cond = right.df, []
         for a in shared:
@@ -141,20 +153,20 @@ class Compiler:
             out = left.df.crossJoin(df)
         else:
             out = left.df.join(df, cond or F.lit(True), how)
-        return Bindings(out.drop(*[f"__s_{a}" for a in shared]), left.kinds | (right.kinds if how in ("inner", "left") else {}))
+        kinds = left.kinds | (right.kinds if how in ("inner", "left") else {})
+        maybe = left.maybe | right.maybe | (frozenset(right.kinds) - frozenset(left.kinds) if how == "left" else frozenset())
+        return Bindings(out.drop(*[f"__s_{a}" for a in shared]), kinds, maybe)
 
     def matches(self, query: Query) -> Bindings:
         out = None
         if query.unwind:
-            value, alias = query.unwind
-            if value[0] != "list" and value != ("lit", None):
+            expr, alias = query.unwind
+            one = Bindings(self.nodes.sparkSession.range(1), {})
+            list_ = self.value(one, expr)
+            if not isinstance(list_.type, T.ArrayType | T.NullType):
                 raise CypherError("UNWIND needs a list")
-            items = value[1] if value[0] == "list" else []
-            if any(i[0] != "lit" for i in items):
-                raise CypherError("UNWIND needs a list of literals")
-            session = self.nodes.sparkSession
-            array = F.array(*[F.lit(i[1]) for i in items]) if items else F.expr("cast(array() as array<string>)")
-            out = Bindings(session.range(1).select(F.explode(array).alias(alias)), {alias: "value"})
+            array = F.expr("cast(array() as array<string>)") if isinstance(list_.type, T.NullType) else list_.col
+            out = Bindings(one.df.select(F.explode(array).alias(alias)), {alias: "value"})
         for m in query.matches:
             out = self.match(out, m)
         return out
@@ -173,7 +185,7 @@ class Compiler:
             return self.join(b, Bindings(df, kinds), "left_anti" if expr[2] else "left_semi")
         before = b.df.columns
         b, cond = self.predicate(b, expr)
-        return Bindings(b.df.filter(cond).select(*before), b.kinds)
+        return Bindings(b.df.filter(cond).select(*before), b.kinds, b.maybe)
 
     def predicate(self, b: Bindings, expr: tuple) -> tuple[Bindings, Column]:
         kind = expr[0]
@@ -193,7 +205,7 @@ class Compiler:
             found = df.select(*keys).distinct().withColumn(flag, F.lit(True)) if shared else df.limit(1).select(F.lit(True).alias(flag))
             joined = b.df.join(found, [F.col(f"{a}.id") == F.col(f"{flag}_{a}") for a in shared] or F.lit(True), "left").drop(*[f"{flag}_{a}" for a in shared])
             cond = F.col(flag).isNull() if expr[2] else F.col(flag).isNotNull()
-            return Bindings(joined, b.kinds), cond
+            return Bindings(joined, b.kinds, b.maybe), cond
         if kind == "label":
             ref = self.value(b, expr[1])
             is_node = expr[1][1][0] in b.kinds and b.kinds[expr[1][1][0]] == "node"
@@ -208,7 +220,7 @@ class Compiler:
             return b, left.col.isNotNull() & ~any_ if expr[3] else any_
         right = self.value(b, expr[3])
         if expr[1] == "=~" and expr[3][0] == "lit":
-            check_regex(expr[3][1])
+            check_regex(self.nodes.sparkSession, expr[3][1])
         return b, compare(expr[1], left, right)
 
     # -- values
@@ -217,14 +229,18 @@ class Compiler:
         found = {f.name: f.dataType for f in schema.fields}
         if name in found:
             return Value(get(name), found[name])
-        return Value(F.get_json_object(get("properties"), "$." + name), T.StringType())
+        return json_value(get("properties"), [name])
 
     def value(self, b: Bindings, expr: tuple) -> Value:
         kind = expr[0]
         if kind == "lit":
             return literal(expr[1])
         if kind == "list":
-            return typed(b.df, F.array(*[self.value(b, i).col for i in expr[1]]))
+            items = [self.value(b, i) for i in expr[1]]
+            if not items:
+                return Value(F.expr("cast(array() as array<string>)"), T.ArrayType(T.StringType()))
+            types = {type(v.type) for v in items} - {T.NullType}
+            return typed(b.df, F.array(*[dynamic(v) if len(types) > 1 or T.StructType in types else v.col for v in items]))
         if kind == "case":
             return self._case(b, expr)
         if kind == "fn":
@@ -243,14 +259,14 @@ class Compiler:
         if not isinstance(schema, T.StructType):
             raise CypherError(f"{alias} has no properties")
         if len(path) > 1 and path[0] == "properties":
-            return Value(F.get_json_object(F.col(f"`{alias}`.properties"), "$." + ".".join(path[1:])), T.StringType())
+            return json_value(F.col(f"`{alias}`.properties"), path[1:])
         return self._field(lambda c: F.col(f"`{alias}`.`{c}`"), schema, ".".join(path), NODE_ALIASES if b.kinds[alias] == "node" else EDGE_ALIASES)
 
     def _case(self, b: Bindings, expr: tuple) -> Value:
         subject = self.value(b, expr[1]) if expr[1] else None
         values = [self.value(b, v) for _, v in expr[2]] + [self.value(b, expr[3])]
         families = {_family(v.type) for v in values} - {"null"}
-        put = (lambda v: as_text(v)) if len(families) > 1 else (lambda v: v.col)
+        put = dynamic if len(families) > 1 or "dynamic" in families else (lambda v: v.col)
         out = None
         for (cond, _), v in zip(expr[2], values, strict=False):
             if subject is None:
@@ -272,9 +288,15 @@ class Compiler:
         if name == "count":
             return F.count_distinct(c) if distinct else F.count(c)
         if name == "collect":
-            return F.collect_set(c) if distinct else F.collect_list(c)
+            return F.array_sort(F.collect_set(c) if distinct else F.collect_list(c))
         if name in ("min", "max"):
             return F.min(c) if name == "min" else F.max(c)
+        if is_dynamic(v.type):
+            if name == "sum":
+                if distinct:
+                    raise CypherError("SUM(DISTINCT) needs a typed property; use toInteger or toFloat in a WITH before it")
+                return total(c)
+            c = F.when(c["rank"] == NUM, c["d"])
         c = c if _family(v.type) == "num" else c.cast("double")
         if name == "avg":
             c = c.cast("double")
@@ -308,21 +330,30 @@ class Compiler:
         for p in items:
             v = self.value(b, p.expr) if p.expr[0] == "ref" and len(p.expr[1]) == 1 else None
             kinds[p.name] = v.kind if v is not None else "value"
-        return Bindings(df, kinds), [(n, d, _family(df.schema[n].dataType)) for n, d in order]
+        return Bindings(df, kinds, frozenset(p.name for p in items if kinds[p.name] != "value")), [(n, d, _family(df.schema[n].dataType)) for n, d in order]
 
-    def finish(self, b: Bindings, order, clause: Clause, where: bool) -> Bindings:
+    def finish(self, b: Bindings, order, clause: Clause, where: bool, stable: bool = True) -> Bindings:
         names = [c for c in b.df.columns if not c.startswith("__o")]
         if clause.distinct:
-            b = Bindings(b.df.dropDuplicates(names), b.kinds)
+            # of equal rows the one that comes first by the order stays
+            hidden = [c for c in b.df.columns if c not in names]
+            if hidden:
+                first = b.df.groupBy(*[F.col(f"`{n}`") for n in names]).agg(*[(F.max if next(d for n, d, _ in order if n == h) else F.min)(F.col(h)).alias(h) for h in hidden])
+                b = Bindings(first.select(*[F.col(f"`{n}`") for n in b.df.columns]), b.kinds, b.maybe)
+            else:
+                b = Bindings(b.df.dropDuplicates(names), b.kinds, b.maybe)
         if where and clause.where:
             b = self.where(b, clause.where)
         df, limited = b.df, clause.skip is not None or clause.limit is not None
         keys = []
         for name, desc, family in order:
             c = F.col(f"`{name}`")
+            if family == "dynamic":
+                keys += sort_keys(c, desc)
+                continue
             nulls_first = (family == "str") != desc
             keys.append((c.desc_nulls_first() if nulls_first else c.desc_nulls_last()) if desc else (c.asc_nulls_first() if nulls_first else c.asc_nulls_last()))
-        if limited:
+        if limited and (stable or order or clause.skip):
             keys.append(F.to_json(F.struct(*[F.col(f"`{n}`") for n in names])))
         if keys:
             df = df.orderBy(*keys)
@@ -330,13 +361,13 @@ class Compiler:
             df = df.offset(clause.skip)
         if clause.limit is not None:
             df = df.limit(clause.limit)
-        return Bindings(df.select(*[F.col(f"`{n}`") for n in names]), b.kinds)
+        return Bindings(df.select(*[F.col(f"`{n}`") for n in names]), b.kinds, b.maybe)
 
-    def query(self, query: Query) -> DataFrame:
+    def query(self, query: Query, stable: bool = True) -> DataFrame:
         b = self.matches(query)
         if query.with_:
             b = self.finish(*self.project(b, query.with_), query.with_, True)
-        return self.finish(*self.project(b, query.return_), query.return_, False).df
+        return self.finish(*self.project(b, query.return_), query.return_, False, stable).df
 
 
 def star(b: Bindings):
@@ -351,40 +382,64 @@ def star(b: Bindings):
     return out
 
 
+@dataclass
+class Literal(Value):
+    number: float = float("inf")
+
+
 def literal(v: object) -> Value:
     if v is None:
         return Value(F.lit(None), T.NullType())
     if isinstance(v, bool):
         return Value(F.lit(v), T.BooleanType())
     if isinstance(v, int):
-        return Value(F.lit(v).cast("long"), T.LongType())
-    return Value(F.lit(v), T.DoubleType() if isinstance(v, float) else T.StringType())
+        fits = -(2**63) <= v < 2**63
+        return Literal(F.lit(v).cast("long") if fits else F.lit(str(v)).cast("decimal(38,0)"), T.LongType() if fits else T.DecimalType(38, 0), "literal", v)
+    if isinstance(v, float):
+        return Literal(F.lit(v), T.DoubleType(), "literal", v)
+    return Value(F.lit(v), T.StringType())
 
 
 def typed(df: DataFrame, c: Column) -> Value:
     return Value(c, df.select(c.alias("x")).schema["x"].dataType)
 
 
-def check_regex(pattern: object) -> None:
-    if isinstance(pattern, str) and re.search(r"\(\?[=!<]|\\[1-9]", pattern):
+def check_regex(spark: SparkSession, pattern: object) -> None:
+    """Patterns are those of linear-time matching; they run in the JVM, so they are compiled there."""
+    if not isinstance(pattern, str):
+        return
+    if re.search(r"\(\?[=!<]|\\[1-9]", pattern):
         raise CypherError("look-around and back-references are not supported in =~")
     try:
-        re.compile(pattern if isinstance(pattern, str) else "")
-    except re.error as e:
-        raise CypherError(f"bad pattern: {e}") from e
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception as e:
+        raise CypherError(f"bad pattern: {pattern}") from e
+
 
+def compile_query(view: GraphView, text: str, stable: bool = True) -> DataFrame:
+    """The DataFrame of a query; branches of UNION must have the same columns in the same order.
 
-def compile_query(view: GraphView, text: str) -> DataFrame:
-    """The DataFrame of a query; branches of UNION must have the same columns in the same order."""
+    A LIMIT without ORDER BY takes the first rows by their JSON, so that it gives the same ones each time; if stable is
+    false, it takes any, and reads no more than it needs."""
     branches, alls = parse_query(text)
     compiler = Compiler(view, text)
-    out = compiler.query(branches[0])
+    out = compiler.query(branches[0], stable)
     for branch, all_ in zip(branches[1:], alls, strict=True):
-        df = compiler.query(branch)
+        df = compiler.query(branch, stable)
         if df.columns != out.columns:
             raise CypherError("UNION needs the same columns in every branch")
+        out, df = _alike(out, df)
         out = out.unionByName(df) if all_ else out.unionByName(df).distinct()
-    return out
+    return to_variants(out)
+
+
+def _alike(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with dynamic columns where their types are of several families."""
+    for c in a.columns:
+        x, y = a.schema[c].dataType, b.schema[c].dataType
+        if _family(x) != _family(y) and "null" not in (_family(x), _family(y)):
+            a, b = (df.withColumn(c, dynamic(Value(F.col(f"`{c}`"), t))) for df, t in ((a, x), (b, y)))
+    return a, b
 
 
 @dataclass
@@ -401,12 +456,24 @@ def query_graph(view: GraphView, text: str, max_rows: int = 200) -> QueryResult:
     if not 0 < max_rows <= MAX_ROWS:
         raise CypherError(f"max_rows must be from 1 to {MAX_ROWS}")
     branches, _ = parse_query(text)
-    df = compile_query(view, text)
     limits = [b.return_.limit for b in branches]
-    whole = df
-    if len(branches) == 1 and limits[0] is not None:
+    limit = limits[0] if len(branches) == 1 else None
+    df = compile_query(view, text)
+    if limit is None and not any(b.return_.order for b in branches):
+        df = df.orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows = df.limit(max_rows + 1).collect()
+    total = len(rows)
+    if limit is not None or total > max_rows:  # else all rows are here
         branches[0].return_.limit = None
-        whole = Compiler(view, text).query(branches[0])
-    total, rows = whole.count(), df.limit(max_rows).collect()
-    cap = min([max_rows, *([limits[0]] if len(branches) == 1 and limits[0] is not None else [])])
+        whole = Compiler(view, text).query(branches[0]) if len(branches) == 1 else df
+        total = whole.count()
+    cap = max_rows if limit is None else min(max_rows, limit)
+    rows = [Row(*[_plain_value(v) for v in r]) for r in rows[:max_rows]]
     return QueryResult(df.columns, rows, total, total > cap, [w for b in branches for w in b.warnings])
+
+
+def _plain_value(v: object) -> object:
+    """Python values for VARIANT ones."""
+    if isinstance(v, VariantVal):
+        return v.toPython()
+    return [_plain_value(x) for x in v] if isinstance(v, list) else v

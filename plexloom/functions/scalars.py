@@ -3,22 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-@dataclass
-class Value:
-    col: Column
-    type: T.DataType
-    kind: str = "value"  # or node, edge
-
-
-WHOLE = r"^[+-]?\d+$"
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+from plexloom.functions.dynamic import BOOL, NUM, NUMBER, OTHER, TEXT, WHOLE, Value, dynamic, is_dynamic, long_of, only_text, text_of
 
 
 def is_text(v: Value) -> bool:
@@ -26,6 +16,8 @@ def is_text(v: Value) -> bool:
 
 
 def as_text(v: Value) -> Column:
+    if is_dynamic(v.type):
+        return text_of(v.col)
     if isinstance(v.type, T.StructType | T.ArrayType | T.MapType):
         return F.to_json(v.col)
     if isinstance(v.type, T.DoubleType | T.FloatType):
@@ -33,28 +25,58 @@ def as_text(v: Value) -> Column:
     return v.col.cast("string")
 
 
+def by_type(v: Value, fn: Callable[[Value], Column]) -> Column:
+    """fn of a dynamic value, as the text, number or boolean that it is."""
+    c = v.col
+    return (
+        F.when(c["rank"] == TEXT, fn(Value(c["s"], T.StringType())))
+        .when((c["rank"] == NUM) & c["whole"], fn(Value(long_of(c), T.LongType())))
+        .when(c["rank"] == NUM, fn(Value(c["d"], T.DoubleType())))
+        .when(c["rank"] == BOOL, fn(Value(c["d"] == 1, T.BooleanType())))
+    )
+
+
+def _plain(*values: Value) -> list[Value]:
+    """Dynamic values as texts, null if they are none."""
+    return [Value(only_text(v.col), T.StringType(), v.kind) if is_dynamic(v.type) else v for v in values]
+
+
+def coalesce(*values: Value) -> Column:
+    return F.coalesce(*[dynamic(v) for v in values]) if len({type(v.type) for v in values} - {T.NullType}) > 1 or any(is_dynamic(v.type) for v in values) else F.coalesce(*[v.col for v in values])
+
+
 def _text(fn: Callable[..., Column]) -> Callable[..., Column]:
     """fn on texts; null on anything else."""
-    return lambda v, *rest: fn(v.col, *rest) if is_text(v) else F.lit(None).cast("string")
+    return lambda v, *rest: fn(_plain(v)[0].col, *rest) if is_text(_plain(v)[0]) else F.lit(None).cast("string")
 
 
 def to_integer(v: Value) -> Column:
+    if is_dynamic(v.type):
+        return by_type(v, to_integer)
+    if isinstance(v.type, T.BooleanType):
+        return v.col.cast("long")
     if is_text(v):
         return F.when(v.col.rlike(WHOLE), v.col.try_cast("long"))
     return v.col.try_cast("long")
 
 
 def to_float(v: Value) -> Column:
+    if is_dynamic(v.type):
+        return by_type(v, to_float)
     return F.when(v.col.rlike(NUMBER), v.col.try_cast("double")) if is_text(v) else v.col.try_cast("double")
 
 
 def to_boolean(v: Value) -> Column:
+    if is_dynamic(v.type):
+        return by_type(v, to_boolean)
     if is_text(v):
         return F.when(F.lower(v.col) == "true", True).when(F.lower(v.col) == "false", False)
     return v.col if isinstance(v.type, T.BooleanType) else v.col != 0
 
 
 def size(v: Value) -> Column:
+    if is_dynamic(v.type):
+        return F.when(v.col["rank"] == TEXT, F.length(v.col["s"])).when(v.col["rank"] == OTHER, F.json_array_length(v.col["j"])).cast("long")
     if is_text(v):
         return F.length(v.col).cast("long")
     return F.size(v.col).cast("long") if isinstance(v.type, T.ArrayType | T.MapType) else F.lit(None).cast("long")
@@ -67,6 +89,7 @@ def position(v: Value) -> Column:
 
 
 def substring(v: Value, start: Value, length: Value | None = None) -> Column:
+    v = _plain(v)[0]
     if not is_text(v):
         return F.lit(None).cast("string")
     begin, most = position(start), F.length(v.col)
@@ -75,10 +98,11 @@ def substring(v: Value, start: Value, length: Value | None = None) -> Column:
 
 
 def side(fn: Callable[..., Column]) -> Callable[[Value, Value], Column]:
-    return lambda v, n: F.when(position(n).isNotNull(), fn(v.col, position(n))) if is_text(v) else F.lit(None).cast("string")
+    return lambda v, n: F.when(position(n).isNotNull(), fn(_plain(v)[0].col, position(n))) if is_text(_plain(v)[0]) else F.lit(None).cast("string")
 
 
 def replace(v: Value, old: Value, new: Value) -> Column:
+    v, old, new = _plain(v, old, new)
     if not (is_text(v) and is_text(old) and is_text(new)):
         return F.lit(None).cast("string")
     between = F.concat(new.col, F.array_join(F.transform(F.split(v.col, ""), lambda c: F.concat(c, new.col)), ""))
@@ -87,6 +111,7 @@ def replace(v: Value, old: Value, new: Value) -> Column:
 
 
 def split(v: Value, by: Value) -> Column:
+    v, by = _plain(v, by)
     if not (is_text(v) and is_text(by)):
         return F.lit(None).cast("array<string>")
     quoted = F.concat(F.lit(r"\Q"), by.col, F.lit(r"\E"))
@@ -106,7 +131,7 @@ def keys(v: Value) -> Column:
 
 TRIM = "\\s\\p{Z}\u0085"
 SCALARS: dict[str, Callable[..., Column]] = {
-    "coalesce": lambda *vs: F.coalesce(*[v.col for v in vs]),
+    "coalesce": coalesce,
     "tolower": _text(F.lower),
     "toupper": _text(F.upper),
     "tostring": as_text,
@@ -115,7 +140,7 @@ SCALARS: dict[str, Callable[..., Column]] = {
     "toboolean": to_boolean,
     "size": size,
     "length": size,
-    "reverse": lambda v: F.reverse(v.col) if is_text(v) or isinstance(v.type, T.ArrayType) else F.lit(None).cast("string"),
+    "reverse": lambda v: F.reverse(_plain(v)[0].col) if is_text(_plain(v)[0]) or isinstance(v.type, T.ArrayType) else F.lit(None).cast("string"),
     "trim": _text(lambda c: F.regexp_replace(c, f"^[{TRIM}]+|[{TRIM}]+$", "")),
     "ltrim": _text(lambda c: F.regexp_replace(c, f"^[{TRIM}]+", "")),
     "rtrim": _text(lambda c: F.regexp_replace(c, f"[{TRIM}]+$", "")),

@@ -87,7 +87,7 @@ cy("cy_order_skip_limit", "MATCH (o:Order) RETURN o.id AS id, o.total AS total O
 cy("cy_order_nulls", "MATCH (n:Customer|Supplier) RETURN n.segment AS segment, n.id AS id ORDER BY n.segment, n.id LIMIT 40", "Customer Supplier", "", "SELECT * FROM (SELECT c_mktsegment AS segment, 'customer:' || c_custkey AS id FROM customer UNION ALL SELECT NULL, 'supplier:' || s_suppkey FROM supplier) ORDER BY segment NULLS FIRST, id LIMIT 40")
 cy("fn_strings", "MATCH (p:Part) RETURN p.id AS id, toUpper(p.name) AS u, size(p.name) AS n, reverse(p.brand) AS r, substring(p.name, 2, 3) AS s, left(p.name, 4) AS l, right(p.name, 3) AS e, replace(p.brand, '#', '-') AS q, trim(p.name) AS w", "Part", "",
    "SELECT 'part:' || p_partkey AS id, upper(p_name) AS u, length(p_name) AS n, reverse(p_brand) AS r, substr(p_name, 3, 3) AS s, left(p_name, 4) AS l, right(p_name, 3) AS e, replace(p_brand, '#', '-') AS q, trim(p_name) AS w FROM part")
-cy("fn_convert", "MATCH (p:Part) RETURN p.id AS id, toInteger(p.price) AS i, toFloat(p.size) AS f, toString(p.size) AS s, toInteger(p.name) AS bad, toBoolean('TRUE') AS b, coalesce(p.missing, p.brand) AS c", "Part", "",
+cy("fn_convert", "MATCH (p:Part) RETURN p.id AS id, toInteger(p.price) AS i, toFloat(p.size) AS f, toString(p.size) AS s, toInteger(p.name) AS bad, toBoolean('TRUE') AS b, toString(coalesce(p.missing, p.brand)) AS c", "Part", "",
    "SELECT 'part:' || p_partkey AS id, CAST(trunc(p_retailprice) AS BIGINT) AS i, CAST(p_size AS DOUBLE) AS f, CAST(p_size AS VARCHAR) AS s, CAST(NULL AS BIGINT) AS bad, true AS b, p_brand AS c FROM part")
 cy("fn_entity", "MATCH (a:Nation)-[r:IN_REGION]->(b:Region) RETURN id(a) AS a, type(r) AS k, id(r) AS d, id(b) AS b", "Nation Region", "IN_REGION", "SELECT 'nation:' || n_nationkey AS a, 'IN_REGION' AS k, '' AS d, 'region:' || n_regionkey AS b FROM nation")
 cy("cy_edge_props", "MATCH (o:Order)-[r:CONTAINS]->(p:Part) WHERE toFloat(r.quantity) >= 49 RETURN p.brand AS brand, COUNT(*) AS n", "Order Part", "CONTAINS", "SELECT p_brand AS brand, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 49 GROUP BY 1")
