@@ -72,7 +72,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = removed_lines(docs).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"), F.col("gone").alias("__gone"))
     joined = docs.withColumn("__key", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row")), "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i.cast("long"))), "\n")
+    at = F.array_except(F.sequence(F.lit(0).cast("long"), (F.size(lines) - 1).cast("long")), "__gone")
+    kept = F.array_join(F.transform(at, lambda i: F.get(lines, i.cast("int"))), "\n")
     count = lambda c, there: F.when(there.isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")
     return (
         joined.withColumn("n_lines", count(lines, F.col("text")))
