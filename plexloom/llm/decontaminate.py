@@ -10,10 +10,11 @@ wavelet tree of rank tables; all windows are searched backwards at once, occurre
 suffix positions, and the spans of words they cover are merged per document.
 
 The benchmark is taken in blocks of at most BLOCK_BYTES, so what is broadcast is bounded; each block passes over all
-documents, and their spans are merged by row.
+documents, and a row's spans go with it from block to block and are merged there, without any join.
 
 Defined cases: a null or empty text has no words; an item without words has no window; equal windows of several items
-count for each of them; repeated rows are judged each by itself; without documents or items nothing is hit.
+count for each of them; items without an item_id count as one of an empty id; repeated rows are judged each by itself;
+without documents or items nothing is hit; columns of docs named n_words, spans or items are replaced.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ SHARD_SYMBOLS = 300_000
 #: Words of a shard's documents, before dropping.
 SHARD_WORDS = 3_000_000
 #: Bytes of benchmark text searched in one pass.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 2_000_000
 #: Every so many-th text position is kept for locating.
 SAMPLE = 16
 #: Items of which windows occur in a document before it counts as contaminated.
@@ -131,9 +132,9 @@ class FMIndex:
 class Phrases:
     """The windows of benchmark items as symbol sequences (from 2; 1 separates), grouped by length."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW) -> None:
         self.ids: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
+        found: dict[tuple[int, ...], set] = {}
         for item, text in items:
             symbols = [self.ids.setdefault(w, len(self.ids) + 2) for w in plain_words(text)]
             for i in range(max(1, len(symbols) - window + 1) if symbols else 0):
@@ -172,12 +173,7 @@ def _hits(shard: list[tuple[np.ndarray, int]], phrases: Phrases) -> list[tuple[l
             out[d][1].update(items[w])
             marks.setdefault(d, []).append((p, p + n))
     for d, spans in marks.items():
-        merged = out[d][0]
-        for a, b in sorted(spans):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
+        out[d][0].extend(_merge(spans))
     return out
 
 
@@ -197,21 +193,35 @@ def find_spans(texts: Iterator[str | None], phrases: Phrases) -> Iterator[tuple[
         yield n, spans, items
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
     block, size = [], 0
     for row in benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1]) + 16
+        block.append(("" if row[0] is None else str(row[0]), row[1]))
+        size += len(row[1].encode("utf-8", "replace")) + 16
         if size >= BLOCK_BYTES:
             yield block
             block, size = [], 0
     yield block
 
 
-def _search(docs: DataFrame, phrases: Phrases) -> DataFrame:
+_ADDED = "n_words bigint, spans array<array<bigint>>, items array<string>"
+
+
+def _merge(spans: list[list[int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def _search(docs: DataFrame, phrases: Phrases, first: bool) -> DataFrame:
+    """docs with what phrases find in them; after the first block, merged with what the ones before have found."""
     held = docs.sparkSession.sparkContext.broadcast(phrases)
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_words bigint, spans array<array<bigint>>, items array<string>").fields])
-    names = docs.columns
+    names = [c for c in docs.columns if first or c not in ("n_words", "spans", "items")]
+    schema = T.StructType([*[docs.schema[c] for c in names], *T._parse_datatype_string(_ADDED).fields])
 
     def run(batches):
         waiting: list[pa.RecordBatch] = []
@@ -227,40 +237,26 @@ def _search(docs: DataFrame, phrases: Phrases) -> DataFrame:
             while waiting and len(got) >= waiting[0].num_rows:
                 batch = waiting.pop(0)
                 own, got = got[: batch.num_rows], got[batch.num_rows :]
+                spans, items = [x[1] for x in own], [x[2] for x in own]
+                if not first:
+                    spans = [_merge(x + y) for x, y in zip(spans, batch.column("spans").to_pylist(), strict=True)]
+                    items = [x.union(y) for x, y in zip(items, batch.column("items").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.list_(pa.list_(pa.int64()))), pa.array([sorted(str(i) for i in x[2]) for x in own], pa.list_(pa.string()))],
+                    [*[batch.column(c) for c in names], pa.array([x[0] for x in own], pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
                     names=[*names, "n_words", "spans", "items"],
                 )
 
-    return map_batches(docs, run, schema)
+    return map_batches(docs.select(*names, *([] if first else ["spans", "items"])), run, schema)
 
 
 def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with n_words, spans (merged [start, end) of hit words) and items (ids as sorted strings) added."""
-    docs = docs.drop("n_words", "spans", "items")
-    out = None
-    for block in _blocks(benchmark):
-        found = _search(docs, Phrases(block))
-        if out is None:
-            out = found
-            continue
-        new = found.select(F.struct(*docs.columns).alias("__r"), F.col("spans").alias("s2"), F.col("items").alias("i2"), F.xxhash64(*docs.columns).alias("__h")).dropDuplicates(["__h"])
-        key = F.xxhash64(*docs.columns)
-        out = out.withColumn("__k", key).join(new.select("__h", "s2", "i2"), F.col("__k") == F.col("__h"), "left")
-        out = out.withColumn("spans", _merge(F.concat("spans", F.coalesce("s2", F.expr("cast(array() as array<array<bigint>>)"))))).withColumn("items", F.array_sort(F.array_union("items", F.coalesce("i2", F.expr("cast(array() as array<string>)")))))
-        out = out.drop("__k", "__h", "s2", "i2")
+    out = docs.drop("n_words", "spans", "items")
+    for k, block in enumerate(_blocks(benchmark)):
+        out = _search(out, Phrases(block), k == 0)
     return out
 
 
-def _merge(spans) -> F.Column:
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(last[0], F.greatest(last[1], x[1]))))
-        return F.when((F.size(acc) > 0) & (x[0] <= F.try_element_at(F.try_element_at(acc, F.lit(-1)), F.lit(2))), joined).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(F.array_sort(spans), F.expr("cast(array() as array<array<bigint>>)"), step)
-
-
 def digest(found: DataFrame) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
     n_items = F.size("items").cast("long")
@@ -317,3 +313,19 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str |
         sha = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
         out.append((doc, len(words), len(hit), len(found), sha, len(found) >= MIN_ITEMS))
     return out
+
+
+#: DuckDB, over the views documents and benchmark.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL),
+k AS (SELECT item, ws, least(8, len(ws)) AS n FROM b WHERE len(ws) > 0),
+w AS MATERIALIZED (SELECT DISTINCT item, n, array_to_string(ws[i + 1 : i + n], ' ') AS x FROM (SELECT item, ws, n, unnest(range(0, len(ws) - n + 1)) AS i FROM k)),
+l AS (SELECT DISTINCT n FROM w),
+p AS (SELECT doc_id, n, i, array_to_string(ws[i + 1 : i + n], ' ') AS x FROM (SELECT doc_id, ws, n, unnest(range(0, len(ws) - n + 1)) AS i FROM d, l WHERE len(ws) >= n)),
+h AS MATERIALIZED (SELECT doc_id, i, p.n, item FROM p JOIN w ON p.n = w.n AND p.x = w.x),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS q FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""
