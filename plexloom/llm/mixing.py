@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexloom.llm.common import bounded_join, spool
+from plexloom.llm.common import BROADCAST_ROWS, bounded_join, spool
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -27,23 +27,37 @@ DIGITS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs=EPOCHS, budget: float = 1.0) -> DataFrame:
-    """(source, source_size, weight, target) from (source, size); one row for each source.
+def _running(df: DataFrame, order: list, sums: dict[str, str], wide: bool) -> DataFrame:
+    """df with a column for each of sums: the sum of its expression over the rows that come before in the order.
 
-    Windows without a partition run here over one row for each source, never over documents.
+    Few rows are ordered in one task.  Of very many, ranges are ordered each by itself, and the totals of the ranges
+    before, of which there are as many as shuffle partitions, are added.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(epochs))
-    by = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before, after, whole = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(whole) * float(budget) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    per = per.withColumn("level", level).withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
-    level = F.min(F.when(F.col("fits"), F.struct((F.col("cap") / F.col("weight")).alias("r"), F.col("level").alias("v")))).over(whole)["v"]
-    return per.withColumn("v", level).select(
-        "source", "source_size", "weight", F.when(F.col("v").isNull() | (F.col("v") * F.col("weight") > F.col("cap")), F.col("cap")).otherwise(F.col("v") * F.col("weight")).alias("target")
-    )
+    before = lambda by: by.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if not wide:
+        return df.withColumns({k: F.coalesce(F.sum(F.expr(e)).over(before(Window.partitionBy())), F.lit(0)) for k, e in sums.items()})
+    dealt = spool(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    totals = dealt.groupBy("__range").agg(*[F.sum(F.expr(e)).alias(f"__{k}") for k, e in sums.items()])
+    ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = totals.select("__range", *[F.coalesce(F.sum(f"__{k}").over(ahead), F.lit(0)).alias(f"__{k}") for k in sums])
+    out = dealt.join(F.broadcast(totals), "__range")
+    by = before(Window.partitionBy("__range"))
+    return out.withColumns({k: F.coalesce(F.sum(F.expr(e)).over(by), F.lit(0)) + F.col(f"__{k}") for k, e in sums.items()}).drop("__range", *[f"__{k}" for k in sums])
+
+
+def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs=EPOCHS, budget: float = 1.0, most: int = BROADCAST_ROWS) -> DataFrame:
+    """(source, source_size, weight, target) from (source, size); one row for each source, in one task up to `most`."""
+    per = spool(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    wide = per.count() > most
+    per = _running(per, [F.col("source").asc_nulls_last()], {"rank": "1"}, wide)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    per = per.withColumn("weight", weight).drop("rank").withColumn("cap", F.col("source_size") * float(epochs))
+    per = spool(_running(per, [(F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()], {"caps": "cap", "weights": "weight"}, wide))
+    whole = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w")).first()
+    level = (F.lit(float(whole["n"]) * float(budget)) - F.col("caps")) / (F.lit(whole["w"]) - F.col("weights"))
+    fits = per.withColumn("level", level).filter(F.col("level") * F.col("weight") <= F.col("cap"))
+    v = F.lit(fits.agg(F.min(F.struct((F.col("cap") / F.col("weight")).alias("r"), F.col("level").alias("v")))["v"]).first()[0]).cast("double")
+    return per.select("source", "source_size", "weight", F.when(v.isNull() | (v * F.col("weight") > F.col("cap")), F.col("cap")).otherwise(v * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, epochs=EPOCHS, budget: float = 1.0, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
