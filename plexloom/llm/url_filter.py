@@ -5,10 +5,12 @@ rule's, and the longest rule that fits gives the verdict.  Urls that no rule fit
 over lexical features (lengths, depth, digit ratio, entropy, parameter counts, suffix statistics), trained from
 labelled urls; the thin query takes as labelled the urls that a rule fits.
 
-The trees are fitted on at most SAMPLE labelled urls, chosen by a hash of the url; every url is judged.
+The trees are fitted on at most SAMPLE labelled urls of at most SAMPLE_BYTES, chosen by a hash of the url; every url is
+judged.  Suffix statistics of a url that is fitted on leave that url out, so that they don't tell its own label.
 
 Defined cases: a null url, or one without ://, has an empty host and path, fits no rule and is judged by the trees like
-any other; without labelled urls of both classes all scores are the only class's, or allow; repeated rows judge alike.
+any other; without labelled urls of both classes all scores are the only class's, or allow; repeated rows judge alike;
+columns of the input named host, path, rule, score or verdict are replaced; urls are taken whole, however long.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 20_000
+SAMPLE, SAMPLE_BYTES = 20_000, 16_000_000
 TREES, DEPTH, RATE, BINS, LEAST = 40, 3, 0.2, 32, 10
 
 # Rules and verdicts.
@@ -55,20 +57,25 @@ NAMES = ["length", "host_length", "path_length", "depth", "labels", "digits", "e
 
 
 class Suffixes(dict):
-    """Smoothed block rate of hosts' last labels, first path segments and file endings, from labelled urls."""
+    """key -> (labelled urls that have it, blocked ones): hosts' last labels, first path segments and file endings."""
+
+    base = 0.5
 
     def learn(self, urls: list[str], y: np.ndarray) -> Suffixes:
-        seen: Counter = Counter()
-        blocked: Counter = Counter()
         for u, k in zip(urls, y.tolist(), strict=True):
             for key in tokens(u):
-                seen[key] += 1
-                blocked[key] += k
-        base = float(y.mean()) if len(y) else 0.5
-        self.update({k: (blocked[k] + 4 * base) / (n + 4) for k, n in seen.items() if n >= 5})
-        self[("base",)] = base
+                n, blocked = self.get(key, (0, 0))
+                self[key] = n + 1, blocked + k
+        self.base = float(y.mean()) if len(y) else 0.5
         return self
 
+    def rate(self, key: tuple, own: float | None = None) -> float:
+        """Smoothed share of blocked urls, without the one whose label is own; the share of all for rare keys."""
+        n, blocked = self.get(key, (0, 0))
+        if own is not None:
+            n, blocked = n - 1, blocked - own
+        return (blocked + 4 * self.base) / (n + 4) if n >= 4 else self.base
+
 
 def tokens(url: str | None) -> list[tuple]:
     _, _, rest = (url or "").partition("://")
@@ -77,8 +84,9 @@ def tokens(url: str | None) -> list[tuple]:
     return [("suffix", host.rpartition(".")[2]), ("first", path[1:].partition("/")[0]), ("ending", path.rpartition("/")[2].rpartition(".")[2] if "." in path.rpartition("/")[2] else "")]
 
 
-def lexical(urls: list[str | None], suffixes: Suffixes) -> np.ndarray:
-    out, base = np.zeros((len(urls), len(NAMES))), suffixes.get(("base",), 0.5)
+def lexical(urls: list[str | None], suffixes: Suffixes, y: np.ndarray | None = None) -> np.ndarray:
+    """Features of urls; y has the labels of those that the suffix statistics were learnt from."""
+    out = np.zeros((len(urls), len(NAMES)))
     for i, url in enumerate(urls):
         u = url or ""
         rest = u.partition("://")[2] or u
@@ -89,7 +97,7 @@ def lexical(urls: list[str | None], suffixes: Suffixes) -> np.ndarray:
             n, len(host), len(path), path.count("/"), host.count(".") + 1 if host else 0, sum(c.isdigit() for c in u) / n if n else 0,
             -sum(c / n * math.log2(c / n) for c in counts), query.count("=") + query.count("&"), host.count("-"), len(query), sum(c.isdigit() for c in host), max(map(len, re.findall(r"[a-z]+", host)), default=0),
         )
-        out[i, 12:] = [suffixes.get(t, base) for t in tokens(u)]
+        out[i, 12:] = [suffixes.rate(t, None if y is None else y[i]) for t in tokens(u)]
     return out
 
 
@@ -143,16 +151,19 @@ class Boosted:
         return 1 / (1 + np.exp(-f))
 
 
-def fit(labelled: DataFrame, bound: int = SAMPLE) -> tuple[Suffixes, Boosted]:
+def fit(labelled: DataFrame, bound: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[Suffixes, Boosted]:
     """From (url, blocked 0/1); the bounded sample is collected."""
-    rows = labelled.filter("url is not null and blocked is not null").select("url", "blocked").orderBy(F.md5("url"), "url", "blocked").limit(bound).collect()
+    chosen = labelled.filter("url is not null and blocked is not null").select("url", "blocked").orderBy(F.md5("url"), "url", "blocked").limit(bound)
+    size = F.sum(F.octet_length("url")).over(Window.orderBy(F.md5("url"), "url", "blocked").rowsBetween(Window.unboundedPreceding, 0))  # over `bound` rows
+    rows = chosen.withColumn("__size", size).filter(F.col("__size") <= most_bytes).drop("__size").collect()
     urls, y = [r[0] for r in rows], np.array([r[1] for r in rows], float)
     suffixes = Suffixes().learn(urls, y)
-    return suffixes, Boosted().fit(lexical(urls, suffixes), y)
+    return suffixes, Boosted().fit(lexical(urls, suffixes, y), y)
 
 
 def filter_urls(urls: DataFrame, rules: dict[str, str] | None = None, labelled: DataFrame | None = None) -> DataFrame:
     """urls with host, path, rule, score (probability to block) and verdict added."""
+    urls = urls.drop("host", "path", "rule", "rule_verdict", "score", "verdict")
     judged = judge_by_rules(urls, RULES if rules is None else rules)
     if labelled is None:
         labelled = judged.filter("rule is not null").select("url", (F.col("rule_verdict") == "block").cast("int").alias("blocked"))
@@ -165,3 +176,13 @@ def filter_urls(urls: DataFrame, rules: dict[str, str] | None = None, labelled:
 
     out = judged.withColumn("score", score("url"))
     return out.withColumn("verdict", F.coalesce("rule_verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))).drop("rule_verdict")
+
+
+#: DuckDB, over the view pages: what the fixed rules say.
+ORACLE_RULES = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+r(rule, host_rule, path_rule, verdict) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS rule_verdict FROM h JOIN r ON (host = host_rule OR ends_with(host, '.' || host_rule)) AND starts_with(path, path_rule) GROUP BY 1)
+SELECT h.page_id, host, path, rule, rule_verdict FROM h LEFT JOIN f ON h.page_id = f.page_id
+"""
