@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -148,7 +149,13 @@ def in_order(docs: DataFrame) -> DataFrame:
     cuts = [int(c) for c in cuts]
     top = len(cuts)
     # range 0 has the greatest ids; nulls are in a last one
-    part = lambda c: F.when(c.isNull(), F.lit(top + 1)).otherwise(F.lit(top) - F.size(F.filter(F.lit(cuts) if cuts else F.expr("cast(array() as array<long>)"), lambda x: x <= c)))
+    edges = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def place(c: pd.Series) -> pd.Series:
+        return pd.Series(top - edges.searchsorted(c.to_numpy(np.int64), "right"))
+
+    part = lambda c: F.when(c.isNull(), F.lit(top + 1)).otherwise(place(F.coalesce(c, F.lit(0).cast("long"))))
     first = {r["part"]: r["m"] for r in ids.groupBy(part(F.col("doc_id")).alias("part")).agg(F.max("doc_id").alias("m")).collect()}
     order = sorted(first)
     before = {first[p]: order[i - 1] for i, p in enumerate(order)}  # first id of a range -> the range that looks ahead to it; order[-1] closes the ring
@@ -194,3 +201,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                 out = []
 
     return map_batches(in_order(docs), run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+#: DuckDB, over the view documents: lengths and digests of the edited texts.
+ORACLE_EDITED = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS x FROM d)
+SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 3) || left(x, length(t) // 3)) AS edited_sha256 FROM n
+"""
