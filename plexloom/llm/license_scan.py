@@ -444,3 +444,13 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<start:long,end:long,label:string>>")
+
+
+#: DuckDB, over the view documents: the columns of base phrases.
+ORACLE_BASE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT 'mit' AS label, ['under', 'the', 'mit', 'license'] AS q UNION ALL SELECT 'apache-2', ['apache', 'license', 'version', '2'] UNION ALL SELECT 'cc-by-nc', ['cc', 'by', 'nc']),
+f AS (SELECT doc_id, label, i FROM (SELECT doc_id, ws, label, q, unnest(range(0, len(ws))) AS i FROM w, p) WHERE ws[i + 1 : i + len(q)] = q)
+SELECT w.doc_id, coalesce(len(any_value(ws)), 0) AS n_words, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM w LEFT JOIN f ON w.doc_id = f.doc_id GROUP BY w.doc_id
+"""

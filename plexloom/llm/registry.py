@@ -61,14 +61,33 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that the fixed rules settle."""
+    return url_filter.judge_by_rules(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.RULES).drop("url")
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that the base phrases settle."""
+    return op6_license_scans(spark, sf_dir).drop("labels", "score")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that don't depend on draws."""
+    return op10_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_toxicity, op3_chat_formatting, op4_line_dedup, op5_decontamination, op6_license_scans, op7_quality, op8_mixing, op9_near_dedup, op10_fingerprints)
+    for f in (op1_url_filters, op2_toxicity, op3_chat_formatting, op4_line_dedup, op5_decontamination, op6_license_scans, op7_quality, op8_mixing, op9_near_dedup, op10_fingerprints, url_rules, license_base, edited_texts)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": chat_format.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op5_decontamination": decontaminate.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op9_near_dedup": near_dedup.ORACLE,
+    "url_rules": url_filter.ORACLE_RULES,
+    "license_base": license_scan.ORACLE_BASE,
+    "edited_texts": fingerprint.ORACLE_EDITED,
 }
