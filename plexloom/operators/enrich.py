@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plexloom.operators.names import binding_key, normal_name
+
 COMMIT_FILES, MIN_TOGETHER, MIN_SCORE = 20, 3, 0.3
 
 
@@ -25,14 +27,52 @@ def data_flows(edges: DataFrame, call: str = "HTTP_CALLS", handle: str = "HANDLE
     return callers.join(handlers, "route").filter("source <> target").select("source", "target", "route").distinct()
 
 
+def _templates(callers: DataFrame, first: DataFrame) -> DataFrame:
+    """Calls with the handlers of which the path has {} for some of the call's segments.
+
+    The shapes of templates, that is where their {} stand, are few; a call is masked by each shape of its length, and the
+    masked path is an equi-join key, so no call meets a template that doesn't fit."""
+    cut = lambda c: F.split(c, "/")
+    t = first.filter(F.contains("h_path", F.lit("{}"))).withColumn("shape", F.transform(cut("h_path"), lambda x: x == "{}"))
+    shapes = t.select("shape", F.size("shape").alias("k")).distinct()
+    masked = F.array_join(F.zip_with("segments", "shape", lambda x, open_: F.when(open_, "{}").otherwise(x)), "/")
+    calls = callers.withColumn("segments", cut("path")).withColumn("k", F.size("segments")).join(shapes, "k").withColumn("masked", masked)
+    fits = (F.col("path") != F.col("h_path")) & ((F.col("h_method") == "ANY") | (F.col("h_method") == F.col("method")))
+    return calls.join(t.drop("shape"), F.col("masked") == F.col("h_path")).filter(fits)
+
+
 def cross_routes(callers: DataFrame, handlers: DataFrame) -> DataFrame:
     """Links (caller, project, remote, handler, priority) of calls (caller, project, method, path) to handlers (handler,
-    project, method, path) of other projects: the same method first, then any method; the first handler of a project."""
-    h = handlers.select("handler", F.col("project").alias("remote"), F.col("method").alias("h_method"), F.col("path").alias("h_path"))
-    same = callers.join(h, (F.col("path") == F.col("h_path")) & (F.col("project") != F.col("remote")))
-    ranked = same.withColumn("priority", F.when(F.col("method") == F.col("h_method"), 0).when((F.col("h_method") == "ANY") | (F.col("method") == "ANY"), 1)).filter("priority is not null")
-    first = F.row_number().over(Window.partitionBy("caller", "remote").orderBy("priority", "handler"))
-    return ranked.withColumn("r", first).filter("r = 1").select("caller", "project", "remote", "handler", "priority")
+    project, method, path) of other projects: of the same method first, then of any method, then by a template whose {}
+    stand for the call's segments; of a project the first handler.  Handlers are reduced to the first of each project,
+    method and path before any join."""
+    first = handlers.groupBy(F.col("project").alias("remote"), F.col("method").alias("h_method"), F.col("path").alias("h_path")).agg(F.min("handler").alias("handler"))
+    other = F.col("project") != F.col("remote")
+    same = callers.join(first, (F.col("path") == F.col("h_path")) & (F.col("method") == F.col("h_method"))).withColumn("priority", F.lit(0))
+    any_ = callers.filter("method <> 'ANY'").join(first.filter("h_method = 'ANY'"), F.col("path") == F.col("h_path")).withColumn("priority", F.lit(1))
+    cols = ["caller", "project", "remote", "handler", "priority", "h_method", "h_path"]
+    rows = same.select(cols).unionByName(any_.select(cols)).unionByName(_templates(callers, first).withColumn("priority", F.lit(2)).select(cols)).filter(other)
+    best = F.min(F.struct("priority", "h_method", "h_path", "handler"))
+    return rows.groupBy("caller", "project", "remote").agg(best.alias("b")).select("caller", "project", "remote", "b.handler", "b.priority")
+
+
+def channel_links(emits: DataFrame, listens: DataFrame) -> DataFrame:
+    """Links (emitter, project, remote, listener) of emitters (emitter, project, transport, channel) to the first listener
+    (listener, project, transport, channel) of each other project: transports alike but for case, channels alike."""
+    first = listens.groupBy(F.lower("transport").alias("t"), F.col("channel").alias("c"), F.col("project").alias("remote")).agg(F.min("listener").alias("listener"))
+    both = emits.join(first, (F.lower("transport") == F.col("t")) & (F.col("channel") == F.col("c")) & (F.col("project") != F.col("remote")))
+    return both.groupBy("emitter", "project", "remote").agg(F.min("listener").alias("listener"))
+
+
+def cross_edges(links: DataFrame, kind: str, **ends: str) -> DataFrame:
+    """Edges both ways for links: in the caller's project to its route or channel, and in the other one from the handler
+    to its own.  links: project, source, target, source_name, source_file, remote, remote_source, remote_target,
+    remote_name, remote_file, and the columns that `ends` names, as properties."""
+    props = lambda project, name, file, way: F.to_json(F.struct(F.col(project).alias("target_project"), F.col(name).alias("target_name"), F.coalesce(F.col(file), F.lit("")).alias("target_file"), *[F.col(c).alias(k) for k, c in ends.items()], F.lit(way).alias("direction")))
+    edge = lambda project, source, target, other, properties: links.select(F.col(project).alias("project"), F.col(source).alias("source"), F.col(target).alias("target"), F.lit(kind).alias("kind"), F.col(other).alias("discriminator"), properties.alias("properties"))
+    there = edge("project", "source", "target", "remote", props("remote", "remote_name", "remote_file", "forward"))
+    back = edge("remote", "remote_source", "remote_target", "project", props("project", "source_name", "source_file", "reverse"))
+    return there.unionByName(back).dropDuplicates(["project", "source", "target", "kind", "discriminator"])
 
 
 def config_links(keys: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -41,9 +81,12 @@ def config_links(keys: DataFrame, symbols: DataFrame) -> DataFrame:
     k = keys.select("key", norm(F.col("key")).alias("k")).filter("k <> ''")
     s = symbols.select("id", norm(F.col("name")).alias("s"))
     equal = k.join(s, F.col("k") == F.col("s")).select("key", "id", F.lit(0.85).alias("confidence"))
-    # every stretch of a symbol as long as some key is an equi-join key, so no pair is tried in vain
-    lengths = k.select(F.length("k").alias("n")).distinct()
-    cut = s.join(F.broadcast(lengths.limit(10_000)), F.length("s") > F.col("n")).select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - F.col("n") + 1), lambda i: F.substr("s", i, F.col("n")))).alias("k")).distinct()
+    # every stretch of a symbol as long as some key is an equi-join key, so no pair is tried in vain; lengths are those of
+    # keys up to the longest symbol, so there are no more of them than that has letters
+    longest = s.agg(F.coalesce(F.max(F.length("s")), F.lit(0)).alias("most"))
+    lengths = k.select(F.length("k").alias("n")).distinct().join(F.broadcast(longest), F.col("n") < F.col("most")).groupBy().agg(F.collect_set("n").alias("ns"))
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length("s") - n + 1), lambda i: F.substr("s", i, n))
+    cut = s.crossJoin(F.broadcast(lengths)).select("id", F.explode(F.array_distinct(F.flatten(F.transform(F.filter("ns", lambda n: n < F.length("s")), of)))).alias("k"))  # lengths is one row
     return equal.unionByName(k.join(cut, "k").select("key", "id", F.lit(0.75).alias("confidence")))
 
 
@@ -54,23 +97,61 @@ def package_links(imports: DataFrame, manifests: DataFrame) -> DataFrame:
     return found.groupBy("module").agg(F.min("manifest").alias("manifest"))
 
 
+def _only(pairs: DataFrame, strategy: str, priority: int) -> DataFrame:
+    """Calls for which a strategy leaves one target."""
+    one = pairs.groupBy("call_id").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")).filter("n = 1")
+    return one.select("call_id", "target", F.lit(strategy).alias("strategy"), F.lit(priority).alias("p"))
+
+
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """(call_id, target, strategy) for calls (call_id, file, container, name, receiver) to symbols (id, file, container,
-    name, qualified_name): by receiver type, import, container, qualified suffix, then unique name; a strategy counts
-    only if it leaves one symbol."""
+    name, qualified_name): by receiver type, import, container, qualified suffix, class and method, then unique name; a
+    strategy counts only if it leaves one symbol.
+
+    Each strategy is an equi-join on all that it tells, never on the short name alone: the unique name is taken from the
+    names that one symbol has."""
+    last = lambda c: F.element_at(F.split(c, r"\."), -1)
     s = symbols.select(F.col("id").alias("target"), F.col("container").alias("s_container"), F.col("name").alias("s_name"), "qualified_name")
-    imported = calls.select("call_id", "file").join(imports.select("file", "module_path"), "file").groupBy("call_id").agg(F.collect_set("module_path").alias("modules"))
-    both = calls.join(s, F.element_at(F.split("name", r"\."), -1) == F.col("s_name")).join(imported, "call_id", "left")
-    tests = [
-        ("receiver", F.element_at(F.split("s_container", r"\."), -1) == F.col("receiver")),
-        ("import", F.exists(F.coalesce("modules", F.expr("cast(array() as array<string>)")), lambda m: F.startswith("qualified_name", F.concat(m, F.lit("."))))),
-        ("container", F.col("s_container") == F.col("container")),
-        ("suffix", F.contains("name", F.lit(".")) & F.endswith("qualified_name", F.concat(F.lit("."), F.col("name")))),
-        ("unique", F.lit(True)),
-    ]
-    kinds = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.struct(F.lit(i).alias("p"), F.lit(n).alias("strategy"))) for i, (n, t) in enumerate(tests)]))
-    each = both.select("call_id", "target", F.explode(kinds).alias("k")).groupBy("call_id", "k").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")).filter("n = 1")
-    return each.groupBy("call_id").agg(F.min(F.struct("k", "target")).alias("b")).select("call_id", F.col("b.target").alias("target"), F.col("b.k.strategy").alias("strategy"))
+    c = calls.select("call_id", "file", "container", "name", "receiver", last("name").alias("short"))
+    by_type = s.select("target", "s_name", last("s_container").alias("s_type"))
+    receiver = c.join(by_type, (F.col("short") == F.col("s_name")) & (F.col("receiver") == F.col("s_type")))
+    # an import reaches what lies under it: every beginning of a symbol's name, up to a point, is a key
+    parts = F.split("qualified_name", r"\.")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "."))
+    under = s.filter(F.contains("qualified_name", F.lit("."))).select("target", "s_name", F.explode(heads).alias("head"))
+    imported = c.join(imports.select("file", "module_path").distinct(), "file").join(under, (F.col("module_path") == F.col("head")) & (F.col("short") == F.col("s_name")))
+    inside = c.join(s, (F.col("short") == F.col("s_name")) & (F.col("container") == F.col("s_container")))
+    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    ends = s.filter(F.contains("qualified_name", F.lit("."))).select("target", F.explode(tails).alias("tail")).filter(F.contains("tail", F.lit(".")))
+    dotted = c.filter(F.contains("name", F.lit(".")))
+    suffix = dotted.join(ends, F.col("name") == F.col("tail"))
+    # of a long dotted name only its class and method, as in languages of the JVM
+    jvm = dotted.withColumn("cm", F.substring_index("name", ".", -2)).join(ends, F.col("cm") == F.col("tail"))
+    single = s.groupBy("s_name").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")).filter("n = 1").select("s_name", "target")
+    unique = c.join(single, F.col("short") == F.col("s_name"))
+    found = None
+    for p, (name, pairs) in enumerate([("receiver", receiver), ("import", imported), ("container", inside), ("suffix", suffix), ("class_method", jvm), ("unique", unique)]):
+        one = _only(pairs, name, p)
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("call_id").agg(F.min(F.struct("p", "target", "strategy")).alias("b")).select("call_id", "b.target", "b.strategy")
+
+
+def resolve_relations(relations: DataFrame, types: DataFrame, imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """(relation_id, target, strategy) of relations (relation_id, file, name), as of a class to what it inherits, to types
+    (id, module, name, qualified_name): by exact qualified name, by an import of the file (file, module_path), in the
+    file's own module (file, module), then by a name that one type has."""
+    t = types.select(F.col("id").alias("target"), F.col("module").alias("t_module"), F.col("name").alias("t_name"), "qualified_name")
+    r = relations.select("relation_id", "file", normal_name(F.col("name")).alias("name"), binding_key(F.col("name")).alias("short"))
+    exact = r.join(t, F.col("name") == F.col("qualified_name"))
+    imported = r.join(imports.select("file", "module_path").distinct(), "file").join(t, (F.col("short") == F.col("t_name")) & ((F.col("module_path") == F.col("t_module")) | (F.col("module_path") == F.col("qualified_name"))))
+    own = r.join(modules.select("file", "module"), "file").join(t, (F.col("short") == F.col("t_name")) & (F.col("module") == F.col("t_module")))
+    single = t.groupBy("t_name").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")).filter("n = 1")
+    unique = r.join(single.select("t_name", "target"), F.col("short") == F.col("t_name"))
+    found = None
+    for p, (name, pairs) in enumerate([("exact", exact), ("import", imported), ("module", own), ("unique", unique)]):
+        one = _only(pairs.withColumnRenamed("relation_id", "call_id"), name, p)
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy(F.col("call_id").alias("relation_id")).agg(F.min(F.struct("p", "target", "strategy")).alias("b")).select("relation_id", "b.target", "b.strategy")
 
 
 def next_definition(marks: DataFrame, defs: DataFrame) -> DataFrame:

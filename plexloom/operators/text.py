@@ -7,7 +7,13 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MATCH_LINES = 64
+from plexloom.operators.traverse import cut
+
+MATCH_LINES, RAW, CODE_LIMIT = 64, 20, 200
+#: Lines of a block by which lines and spans are joined.
+BLOCK = 256
+#: Lines of a long symbol that are shown, and how far before its first match they begin.
+FULL_LINES, FULL_LEAD = 60, 5
 
 
 def glob_regex(glob: str) -> str:
@@ -33,9 +39,13 @@ def line_matches(files: DataFrame, pattern: str, regex: bool = False, path: str
 
 
 def tightest_span(lines: DataFrame, spans: DataFrame) -> DataFrame:
-    """lines (path, line) with the id of the smallest span (id, file_path, start_line, end_line) around each, or null."""
-    s = spans.select(F.col("id").alias("span_id"), F.col("file_path").alias("__p"), "start_line", "end_line")
-    both = lines.join(s, (F.col("path") == F.col("__p")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left")
+    """lines (path, line) with the id of the smallest span (id, file_path, start_line, end_line) around each, or null.
+
+    A span is put into each block of BLOCK lines that it touches and a line into its own, so a line meets only spans near
+    it, whatever the length of the file."""
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    s = spans.filter("start_line <= end_line").select(F.col("id").alias("span_id"), F.col("file_path").alias("__p"), "start_line", "end_line", F.explode(F.sequence(block("start_line"), block("end_line"))).alias("__b"))
+    both = lines.withColumn("__l", block("line")).join(s, (F.col("path") == F.col("__p")) & (F.col("__l") == F.col("__b")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left")
     best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("w"), "span_id"))
     return both.groupBy(*lines.columns).agg(best.alias("b")).select(*lines.columns, F.col("b.span_id").alias("span_id"))
 
@@ -47,13 +57,40 @@ def code_score(in_degree, label, path):
     return in_degree + F.when(label.isin("Function", "Method"), 10).when(label == "Route", 15).otherwise(0) - F.when(vendored, 50).otherwise(0) - F.when(F.contains(path, F.lit("test")), 5).otherwise(0)
 
 
-def search_code(files: DataFrame, nodes: DataFrame, pattern: str, regex: bool = False, limit: int = 200) -> DataFrame:
-    """(id, score, matches, lines): one row for each enclosing node; its first MATCH_LINES lines."""
-    hits = tightest_span(line_matches(files, pattern, regex), nodes.filter("start_line is not null")).filter("span_id is not null")
-    rank = F.row_number().over(Window.partitionBy("span_id").orderBy("line"))
-    per = hits.withColumn("r", rank).groupBy("span_id").agg(F.count("*").alias("matches"), F.array_sort(F.collect_list(F.when(F.col("r") <= MATCH_LINES, F.col("line")))).alias("lines"))
-    out = per.join(nodes, F.col("span_id") == F.col("id")).select("id", "qualified_name", code_score(F.col("in_degree"), F.col("label"), F.col("file_path")).alias("score"), "matches", "lines")
-    return out.orderBy(F.desc("score"), "qualified_name").limit(limit)
+def search_code(files: DataFrame, nodes: DataFrame, pattern: str, regex: bool = False, glob: str | None = None, path_regex: str | None = None, mode: str = "compact", context: int = 0, limit: int = CODE_LIMIT) -> dict:
+    """Lines that match, by the symbol around them.  files: path, text; nodes: id, name, qualified_name, label, file_path,
+    start_line, end_line, in_degree.
+
+    Gives results (a frame of one row for each enclosing symbol, best first: id, qualified_name, label, file, score,
+    matches, lines, of which the first MATCH_LINES; source in mode full, or context lines around the matches), raw (the
+    first RAW matches outside any symbol), directories, and counts.  Mode files gives files alone.
+    """
+    if not pattern or not 1 <= limit <= CODE_LIMIT or mode not in ("compact", "full", "files"):
+        raise ValueError("an empty pattern, a bad limit or an unknown mode")
+    rows = files if glob is None else files.filter(F.col("path").rlike(glob_regex(glob)))
+    rows = rows if path_regex is None else rows.filter(F.col("path").rlike(path_regex))
+    hits = cut(tightest_span(line_matches(rows, pattern, regex), nodes.filter("start_line is not null")))
+    inside, raw = hits.filter("span_id is not null"), hits.filter("span_id is null").drop("span_id").orderBy("path", "line")
+    lines = F.slice(F.array_sort(F.collect_list("line")), 1, MATCH_LINES)
+    per = inside.groupBy("span_id").agg(F.count("*").alias("matches"), lines.alias("lines"))
+    scored = per.join(nodes, F.col("span_id") == F.col("id")).select("id", "qualified_name", "label", F.col("file_path").alias("file"), "start_line", "end_line", code_score(F.col("in_degree"), F.col("label"), F.col("file_path")).alias("score"), "matches", "lines")
+    scored = cut(scored)
+    found, best = scored.count(), scored.orderBy(F.desc("score"), "qualified_name", "id").limit(limit)
+    if mode == "files":
+        return {"files": best.select("file").unionByName(raw.select(F.col("path").alias("file"))).distinct().orderBy("file")}
+    if mode == "full" or context:
+        first, last = F.element_at("lines", 1), F.element_at("lines", -1)
+        long = F.col("end_line") - F.col("start_line") + 1 > FULL_LINES
+        lead = F.when(long & (first - FULL_LEAD > F.col("start_line")), first - FULL_LEAD).otherwise(F.col("start_line"))
+        low = lead if mode == "full" else F.greatest(first - context, F.lit(1))
+        high = F.when(long, F.least(lead + FULL_LINES - 1, F.col("end_line"))).otherwise(F.col("end_line")) if mode == "full" else last + context
+        best = best.withColumn("shown_from", low).withColumn("__high", high).join(files.select(F.col("path").alias("file"), "text"), "file")
+        shown = F.array_join(F.slice(F.split("text", "\n"), F.col("shown_from").cast("int"), (F.col("__high") - F.col("shown_from") + 1).cast("int")), "\n")
+        best = best.withColumn("source" if mode == "full" else "context", shown).drop("text", "__high").orderBy(F.desc("score"), "qualified_name", "id")
+    n, n_raw = hits.count(), raw.count()
+    ratio = f"{n / (found + n_raw):.1f}x" if found and n else None
+    warnings = ["the pattern has | but is no regex, so it is searched as it stands"] if "|" in pattern and not regex else []
+    return {"results": best, "raw": raw.limit(RAW), "directories": directories(scored.select(F.col("file").alias("path"))), "lines": n, "found": found, "raw_found": n_raw, "ratio": ratio, "warnings": warnings}
 
 
 def directories(lines: DataFrame) -> DataFrame:
@@ -63,7 +100,7 @@ def directories(lines: DataFrame) -> DataFrame:
 
 # Abbreviations and what they stand for.
 ABBREVIATIONS = {
-    "auth": "authentication", "cfg": "config", "conf": "config", "ctx": "context", "db": "database", "dir": "directory", "doc": "document", "err": "error", "fn": "function",
+    "auth": "authentication", "cfg": "config", "conf": "configuration", "ctx": "context", "db": "database", "dir": "directory", "doc": "document", "err": "error", "fn": "function",
     "idx": "index", "init": "initialize", "len": "length", "max": "maximum", "min": "minimum", "msg": "message", "num": "number", "obj": "object", "param": "parameter", "pkg": "package",
     "req": "request", "res": "response", "str": "string", "tmp": "temporary", "usr": "user", "val": "value", "var": "variable",
 }

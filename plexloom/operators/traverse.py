@@ -6,21 +6,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexloom.graph import GraphView
 
 TRACE_DEPTH, TRACE_LIMIT, IMPACT_DEPTH, IMPACT_LIMIT = 5, 1_000, 15, 1_000
-# Kinds that say how things are arranged, not how they depend on each other.
-STRUCTURAL = ["DEFINES", "CONTAINS", "CONTAINS_FILE", "HAS_BRANCH", "FILE_CHANGES_WITH", "SIMILAR_TO", "SEMANTICALLY_RELATED"]
+# Kinds that say how things are arranged, not how they depend on each other; labels of what is no symbol.
+STRUCTURAL = ["DEFINES", "DEFINES_METHOD", "CONTAINS_FILE", "CONTAINS_FOLDER", "SIMILAR_TO", "SEMANTICALLY_RELATED", "FILE_CHANGES_WITH"]
+NO_SYMBOLS = ["File", "Folder", "Project"]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the folder of spark.checkpoint.dir; a temporary one only where the session names none."""
+    """Cut lineage by a table in the folder of spark.checkpoint.dir, or the one given to setCheckpointDir; where neither
+    is set, in a temporary one in local mode (tests); on a cluster that is an error."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="plexloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/plexloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -36,18 +40,17 @@ def _steps(edges: DataFrame, direction: str) -> DataFrame:
 
 def trace(view: GraphView, seeds: DataFrame, direction: str = "outbound", depth: int = TRACE_DEPTH, kinds: list[str] | None = None) -> DataFrame:
     """(id, hop, via_kind, via_source, via_target): nodes reached from seeds (id), each at its smallest hop, by the first
-    edge in the order of qualified name, source, target, kind."""
+    edge that reaches it there, in the order of source, target and kind."""
     if direction not in ("outbound", "inbound", "both") or not 1 <= depth <= TRACE_DEPTH:
         raise ValueError("bad direction or depth")
     steps = _steps(view.edges.filter(F.col("kind").isin(kinds)) if kinds else view.edges, direction)
     known = view.nodes.select(F.col("id").alias("to"))
     seen = seeds.select("id").distinct().withColumn("hop", F.lit(0))
     frontier, out = seen, None
-    rank = F.row_number().over(Window.partitionBy("to").orderBy("source", "target", "kind"))
     for hop in range(1, depth + 1):
         found = frontier.join(steps, F.col("id") == F.col("from")).join(known, "to", "left_semi").join(seen.select(F.col("id").alias("to")), "to", "left_anti")
-        found = found.select("to", "source", "target", "kind").withColumn("r", rank).filter("r = 1")
-        found = cut(found.select(F.col("to").alias("id"), F.lit(hop).alias("hop"), F.col("kind").alias("via_kind"), F.col("source").alias("via_source"), F.col("target").alias("via_target")))
+        found = found.groupBy("to").agg(F.min(F.struct("source", "target", "kind")).alias("e"))  # combined before the shuffle
+        found = cut(found.select(F.col("to").alias("id"), F.lit(hop).alias("hop"), F.col("e.kind").alias("via_kind"), F.col("e.source").alias("via_source"), F.col("e.target").alias("via_target")))
         out = found if out is None else out.unionByName(found)
         if not found.limit(1).count():
             break
@@ -56,12 +59,13 @@ def trace(view: GraphView, seeds: DataFrame, direction: str = "outbound", depth:
 
 
 def trace_path(view: GraphView, name: str, direction: str = "outbound", depth: int = TRACE_DEPTH, limit: int = TRACE_LIMIT, kinds: list[str] | None = None) -> tuple[DataFrame, bool]:
-    """Nodes reached from the symbols of this name, nearest first, and whether the limit cut some."""
+    """Nodes reached from the symbol of this name, nearest first, and whether the limit cut some.  A name of several
+    symbols, or of none, is an error (search.resolve_one)."""
     if not 1 <= limit <= TRACE_LIMIT:
         raise ValueError(f"limit must be from 1 to {TRACE_LIMIT}")
-    from plexloom.operators.search import resolve_symbol
+    from plexloom.operators.search import resolve_one
 
-    reached = trace(view, resolve_symbol(view, name).limit(1), direction, depth, kinds)
+    reached = trace(view, resolve_one(view, name), direction, depth, kinds)
     rows = reached.join(view.nodes.select("id", "name", "qualified_name", "label"), "id").orderBy("hop", "qualified_name", "id")
     return rows.limit(limit), rows.limit(limit + 1).count() > limit
 
@@ -83,10 +87,16 @@ def impact(view: GraphView, seeds: DataFrame, depth: int = 2, structural: list[s
     return best
 
 
-def detect_changes(view: GraphView, changed: DataFrame, coupled: DataFrame | None = None, depth: int = 2) -> DataFrame:
-    """(id, level, name, qualified_name) of symbols touched by changed files (path): level 0 for their own symbols, 1 for
-    those of files that usually change with them (path)."""
-    own = lambda files, level: view.nodes.join(files.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi").select("id", F.lit(level).alias("level"))
+def detect_changes(view: GraphView, changed: DataFrame, coupled: DataFrame | None = None, depth: int = 2, limit: int = IMPACT_LIMIT) -> tuple[DataFrame, bool]:
+    """(qualified_name, name, label, file, level) of the symbols that changed files (path) touch, by name, at most limit,
+    and whether there are more: level 0 for the files' own symbols, 1 for those of files that usually change with them
+    (path), one more for each dependence.  Files, folders and projects are passed through, but are no symbols; of
+    symbols that share a qualified name one is reported."""
+    symbols = view.nodes.filter(~F.col("label").isin(NO_SYMBOLS))
+    own = lambda files, level: symbols.join(files.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi").select("id", F.lit(level).alias("level"))
     seeds = own(changed, 0)
-    seeds = seeds if coupled is None else seeds.unionByName(own(coupled, 1))
-    return impact(view, seeds, depth).join(view.nodes.select("id", "name", "qualified_name"), "id").orderBy("level", "qualified_name").limit(IMPACT_LIMIT)
+    seeds = seeds.unionByName(own(coupled, 1)) if coupled is not None and depth else seeds
+    found = impact(view, seeds, depth).join(symbols.select("id", "qualified_name", "name", "label", F.coalesce("file_path", F.lit("")).alias("file")), "id")
+    first = found.groupBy("qualified_name").agg(F.min(F.struct("level", "id", "name", "label", "file")).alias("x")).select("qualified_name", "x.name", "x.label", "x.file", "x.level")
+    first = cut(first)
+    return first.orderBy("qualified_name").limit(limit), first.count() > limit

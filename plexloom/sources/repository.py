@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plexloom.operators.names import trackable
+
 MOST_BYTES = 512 << 20
 # Folders never read, and suffixes of files that aren't text.
 SKIPPED_FOLDERS = [".git", ".hg", ".svn", "node_modules", "target", "build", "dist", "__pycache__", ".venv", "venv", ".idea", ".vscode", "vendor"]
@@ -78,4 +82,49 @@ def diff_hunks(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("path", F.last(F.when(path != "", path), True).over(at)).withColumn("h", F.expr(r"regexp_extract_all(value, '^@@ -[0-9,]+ \\+([0-9]+)(,[0-9]+)? @@', 1)")).filter(F.size("h") > 0)
     size = F.regexp_extract("value", r"^@@ -[0-9,]+ \+[0-9]+,([0-9]+) @@", 1)
     first, n = F.col("h")[0].cast("long"), F.when(size == "", 1).otherwise(size.try_cast("long"))
-    return rows.select("path", first.alias("first"), (first + F.greatest(n, F.lit(1)) - 1).alias("last"))
+    return rows.filter(trackable(F.col("path")) & (first > 0)).select("path", first.alias("first"), (first + F.greatest(n, F.lit(1)) - 1).alias("last"))
+
+
+def name_status(lines: DataFrame, most: int = 10_000) -> DataFrame:
+    """(status, path, old_path) of the lines (n, value) of a name-status listing, in order; a rename has its old path.
+    Files that history doesn't count are left out; at most `most`, as `git` itself is asked for no more."""
+    f = F.split(F.regexp_replace("value", r"\r$", ""), "\t")
+    status = F.substr(f[0], F.lit(1), F.lit(1))
+    renamed = status == "R"
+    path = F.when(renamed, F.coalesce(F.get(f, F.lit(2)), F.get(f, F.lit(1)))).otherwise(F.get(f, F.lit(1)))
+    rows = lines.select("n", status.alias("status"), path.alias("path"), F.when(renamed, F.get(f, F.lit(1))).alias("old_path"))
+    return rows.filter((F.col("status") != "") & F.col("path").isNotNull() & trackable(F.col("path"))).orderBy("n").limit(most).drop("n")
+
+
+def changed_files(*sources: DataFrame) -> DataFrame:
+    """(path) of the sorted set of what several listings name: a diff with the base, the worktree's, and its status.  A
+    listing is (path), or (value) with NUL between paths, of a porcelain status after two letters and a blank."""
+    out = None
+    for s in sources:
+        if "path" not in s.columns:
+            s = s.select(F.explode(F.split("value", "\0")).alias("path"))
+            s = s.select(F.regexp_replace("path", r"^[ MADRCUT?!]{2} ", "").alias("path"))
+        s = s.select("path").filter(F.col("path") != "")
+        out = s if out is None else out.unionByName(s)
+    return out.filter(trackable(F.col("path"))).distinct().orderBy("path")
+
+
+def git_context(root: str) -> dict:
+    """Whether root is in a repository, and its root, branch and head, read from the files of .git on the driver."""
+    at = Path(root).resolve()
+    while not (at / ".git").exists():
+        if at == at.parent:
+            return {"is_git": False, "root": str(Path(root).resolve()), "branch": None, "head": None, "worktree": False}
+        at = at.parent
+    git = at / ".git"
+    worktree = git.is_file()  # a linked worktree has a file that names its folder
+    if worktree:
+        git = (at / git.read_text().removeprefix("gitdir:").strip()).resolve()
+    head = (git / "HEAD").read_text().strip()
+    branch = head.removeprefix("ref: refs/heads/") if head.startswith("ref: refs/heads/") else None
+    if branch is not None:
+        common = (git / (git / "commondir").read_text().strip()).resolve() if (git / "commondir").exists() else git
+        loose, packed = common / "refs/heads" / branch, common / "packed-refs"
+        lines = packed.read_text().splitlines() if packed.exists() else []
+        head = loose.read_text().strip() if loose.exists() else next((x.split()[0] for x in lines if x.endswith(f" refs/heads/{branch}")), None)
+    return {"is_git": True, "root": str(at), "branch": branch, "head": head, "worktree": worktree}
