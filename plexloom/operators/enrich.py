@@ -12,10 +12,11 @@ COMMIT_FILES, MIN_TOGETHER, MIN_SCORE = 20, 3, 0.3
 
 
 def canonical_route(c):
-    """The path of a url or route: without scheme, host, query and fragment; its parameters as {}."""
-    path = F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
-    path = F.regexp_replace(path, r"[?#].*$", "")
-    path = F.regexp_replace(path, r"\$?\{[^}/]*\}|<[^>/]*>|:[A-Za-z_][A-Za-z0-9_]*", "{}")
+    """The path of a url or route: without scheme, host, query and fragment, and without slashes at its end; its
+    parameters, in braces or angles or after a colon that begins a segment, as {}."""
+    path = F.regexp_replace(F.btrim(c, F.lit(" \t\r\n")), r"^(?:https?:)?//[^/?#]*", "")
+    path = F.regexp_replace(path, r"(?s)[?#].*$", "")
+    path = F.regexp_replace(path, r"\$?\{[^}]*\}?|<[^>]*>?|(?<=/|^):[^/]*", "{}")
     path = F.regexp_replace(path, r"(.)/+$", "$1")
     return F.when(path == "", F.lit("/")).otherwise(path)
 
