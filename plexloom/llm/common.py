@@ -102,19 +102,21 @@ def bounded_join(big: DataFrame, small: DataFrame, on: list[str], salt: str, how
 HOT = 1 / 2000
 
 
-def hot_keys(counts: DataFrame, key: str, total: int, least: int = 1000, count: str = "c") -> DataFrame:
-    """The hot keys of counts (key, count), of which count adds up to total at most: no more than 1 / HOT rows."""
-    return counts.filter(F.col(count) >= max(least, total * HOT)).select(key)
+def hot_keys(counts: DataFrame, key: str, total: int, least: int = 1000, count: str = "c") -> list:
+    """The hot keys of counts (key, count), of which count adds up to total at most: no more than 1 / HOT of them."""
+    bound = max(least, total * HOT)
+    return [r[0] for r in counts.filter(F.col(count) >= bound).select(key).collect()] if total >= least else []
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, salt: str, how: str = "inner") -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, key: str, hot: list, salt: str, how: str = "inner") -> DataFrame:
     """Join big with small, unique in key, on key; big's rows of hot_keys() are dealt over all tasks by column salt, and
     small's rows of them are copied, so that no key stays in one task."""
+    if not hot:
+        return big.join(small, key, how)
     salts = min(4096, max(32, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    flags = F.broadcast(hot.select(key, F.lit(True).alias("__hot")))  # at most 1 / HOT rows
-    left = big.join(flags, key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(salt), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("__hot")
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    right = small.join(flags, key, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    is_hot, zero = F.col(key).isin(hot), F.lit(0).cast("long")
+    left = big.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(salt), F.lit(salts))).otherwise(zero))
+    right = small.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(zero, F.lit(salts - 1).cast("long"))).otherwise(F.array(zero))))
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 

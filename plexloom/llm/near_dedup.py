@@ -209,7 +209,7 @@ def confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     A member has few centres, so it is joined by itself; a centre of very many members is copied, and they are dealt by
     salt, so its set is never repeated in a shuffle for each of them.
     """
-    hot = spool(hot_keys(pairs.groupBy("c").agg(F.count("*").alias("n")), "c", pairs.count(), count="n"))
+    hot = hot_keys(pairs.groupBy("c").agg(F.count("*").alias("n")), "c", pairs.count(), count="n")
     side = lambda df, x, cols: df.select(F.col("vid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
     near = salted_join(pairs.join(side(reps, "v", ["n", "regs"]), "v"), side(reps, "c", ["n", "regs"]), "c", hot, "v")
     near = near.filter(F.least("n_c", "n_v") * 100 >= F.greatest("n_c", "n_v") * PERCENT)
@@ -234,9 +234,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = spool(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
 
-    def least(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        n, per = df.count(), df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
-        return per.select("a", "m"), hot_keys(per, "a", n, 10_000)
+    def least(df: DataFrame) -> tuple[DataFrame, list]:
+        per = df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        return per.select("a", "m"), hot_keys(per, "a", df.count(), 10_000)
 
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -262,7 +262,7 @@ def _join_components(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return components(moved.unionByName(roots.select(F.col("vid").alias("a"), F.col("root").alias("b"))))
 
 
-def _open_buckets(member: DataFrame, roots: DataFrame | None, hot: DataFrame) -> DataFrame:
+def _open_buckets(member: DataFrame, roots: DataFrame | None, hot: list) -> DataFrame:
     """Members (key, vid, w, root, core) of the buckets of several components; core is the bucket's main one's root."""
     left = member.withColumn("root", F.col("vid"))
     if roots is not None:
@@ -273,7 +273,7 @@ def _open_buckets(member: DataFrame, roots: DataFrame | None, hot: DataFrame) ->
     return spool(salted_join(left, mixed.select("key", "core"), "key", hot, "vid"))
 
 
-def _compare_blocks(left: DataFrame, reps: DataFrame, sets: DataFrame, hot: DataFrame) -> DataFrame:
+def _compare_blocks(left: DataFrame, reps: DataFrame, sets: DataFrame, hot: list) -> DataFrame:
     """Links (a, b) between the members outside their bucket's main component and all its other members.
 
     A bucket is one block unless it has too many members or shingles; then the blocks of both sides are paired.
@@ -335,7 +335,7 @@ def _placed(docs: DataFrame) -> DataFrame:
     member = reps.select("vid", F.explode("bands").alias("key"))
     shared = spool(member.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
     total = shared.agg(F.sum("c")).first()[0] or 0
-    hot = spool(hot_keys(shared, "key", total))
+    hot = hot_keys(shared, "key", total)
     member = spool(salted_join(member, shared, "key", hot, "vid"))
     weight = spool(member.groupBy("vid").agg(F.sum("c").alias("w")))
     wanted = reps.join(weight, "vid", "left_semi").select("vid", "h1", "h2", "doc")
@@ -363,7 +363,7 @@ def _placed(docs: DataFrame) -> DataFrame:
         named = known.select("h1", "h2", F.col("doc").alias("component_id"), F.col("vid").alias("root"))
     else:
         first = spool(roots.join(known, "vid").groupBy("root").agg(F.min("doc").alias("first"), F.count("*").alias("c")))
-        linked = salted_join(roots, first.select("root", "first"), "root", hot_keys(first, "root", first.agg(F.sum("c")).first()[0]), "vid")
+        linked = salted_join(roots, first.select("root", "first"), "root", hot_keys(first, "root", first.agg(F.sum("c")).first()[0] or 0), "vid")
         named = known.join(linked, "vid", "left").select("h1", "h2", F.coalesce("first", "doc").alias("component_id"), F.coalesce("root", "vid").alias("root"))
     named = spool(named)
     # both sides are shuffled by the set's name alone, so adaptive execution splits a class of very many copies
