@@ -40,6 +40,11 @@ def is_dynamic(t: T.DataType) -> bool:
     return isinstance(t, T.StructType) and t.fieldNames() == DYN.fieldNames()
 
 
+def let(c: Column, fn) -> Column:
+    """fn of c, which is computed once, however often fn uses it."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 def rest(exact: Column, d: Column) -> Column:
     """What a double leaves of a whole number."""
     return (exact - d.try_cast(_EXACT)).cast("long")
@@ -80,19 +85,23 @@ def dynamic(v: Value) -> Column:
 def json_value(text: Column, path: list[str]) -> Value:
     """The value at a path in a JSON text; null where there is none, or JSON's null."""
     at = "$" + "".join("['" + p.replace("'", "\\'") + "']" for p in path)
-    v = F.try_variant_get(F.try_parse_json(text), at, "variant")
-    kind = F.schema_of_variant(v)
-    plain = F.try_variant_get(v, "$", "string")
-    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    whole = (kind == "BIGINT") | (kind.startswith("DECIMAL") & kind.endswith(",0)"))
-    d = F.try_variant_get(v, "$", "double")
-    made = (
-        F.when(kind == "BOOLEAN", _struct(BOOL, F.try_variant_get(v, "$", "boolean").cast("int").cast("double"), 0, None, None, plain))
-        .when(number, _struct(NUM, d, F.when(whole, rest(F.try_variant_get(v, "$", _EXACT), d)).otherwise(0), None, whole, plain))
-        .when(kind == "STRING", _struct(TEXT, None, None, plain, None, F.to_json(v)))
-        .otherwise(_struct(OTHER, None, None, F.to_json(v), None, F.to_json(v)))
-    )
-    return Value(F.when(v.isNotNull() & (kind != "VOID"), made), DYN)
+    return Value(let(F.try_variant_get(F.try_parse_json(text), at, "variant"), _of_variant), DYN)
+
+
+def _of_variant(v: Column) -> Column:
+    def typed(k: Column) -> Column:
+        kind, plain, d = k["kind"], F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
+        number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+        whole = (kind == "BIGINT") | (kind.startswith("DECIMAL") & kind.endswith(",0)"))
+        made = (
+            F.when(kind == "BOOLEAN", _struct(BOOL, F.try_variant_get(v, "$", "boolean").cast("int").cast("double"), 0, None, None, plain))
+            .when(number, _struct(NUM, d, F.when(whole, rest(F.try_variant_get(v, "$", _EXACT), d)).otherwise(0), None, whole, plain))
+            .when(kind == "STRING", _struct(TEXT, None, None, plain, None, F.to_json(v)))
+            .otherwise(_struct(OTHER, None, None, F.to_json(v), None, F.to_json(v)))
+        )
+        return F.when(v.isNotNull() & (kind != "VOID"), made)
+
+    return let(F.struct(F.schema_of_variant(v).alias("kind")), typed)
 
 
 def text_of(c: Column) -> Column:
@@ -123,13 +132,17 @@ def compare_dynamic(calc, left: Column, right: Column) -> Column:
     booleans; else by the ranks of their types."""
     n = lambda c: F.struct(c["d"].alias("d"), c["r"].alias("r"))
     num = lambda c: c["rank"] == NUM
-    a = F.when(num(left), n(left)).when(num(right) & (left["rank"] == TEXT), number_in(left["s"]))
-    b = F.when(num(right), n(right)).when(num(left) & (right["rank"] == TEXT), number_in(right["s"]))
-    big = lambda c: F.when(num(c) & c["whole"] & (c["d"] >= 2.0**63), F.lit(BIG)).otherwise(c["rank"])
-    same = F.struct(F.coalesce(left["d"], F.lit(0.0)).alias("d"), F.coalesce(left["s"], F.lit("")).alias("s"))
-    other = F.struct(F.coalesce(right["d"], F.lit(0.0)).alias("d"), F.coalesce(right["s"], F.lit("")).alias("s"))
-    out = F.when((num(left) | num(right)) & a.isNotNull() & b.isNotNull(), calc(a, b)).when(left["rank"] == right["rank"], calc(same, other)).otherwise(calc(big(left), big(right)))
-    return F.coalesce(F.when(left.isNotNull() & right.isNotNull(), out), F.lit(False))
+
+    def decide(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        x = F.when(num(a), n(a)).when(num(b) & (a["rank"] == TEXT), number_in(a["s"]))
+        y = F.when(num(b), n(b)).when(num(a) & (b["rank"] == TEXT), number_in(b["s"]))
+        big = lambda c: F.when(num(c) & c["whole"] & (c["d"] >= 2.0**63), F.lit(BIG)).otherwise(c["rank"])
+        plain = lambda c: F.struct(F.coalesce(c["d"], F.lit(0.0)).alias("d"), F.coalesce(c["s"], F.lit("")).alias("s"))
+        out = F.when((num(a) | num(b)) & x.isNotNull() & y.isNotNull(), calc(x, y)).when(a["rank"] == b["rank"], calc(plain(a), plain(b))).otherwise(calc(big(a), big(b)))
+        return F.coalesce(F.when(a.isNotNull() & b.isNotNull(), out), F.lit(False))
+
+    return let(F.struct(left.alias("a"), right.alias("b")), decide)
 
 
 def sort_keys(c: Column, descending: bool) -> list[Column]:

@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexloom.graph import GraphView
@@ -17,19 +17,23 @@ STRUCTURAL = ["DEFINES", "DEFINES_METHOD", "CONTAINS_FILE", "CONTAINS_FOLDER", "
 NO_SYMBOLS = ["File", "Folder", "Project"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the folder of spark.checkpoint.dir, or the one given to setCheckpointDir; where neither
-    is set, in a temporary one in local mode (tests); on a cluster that is an error."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A folder for this application in that of spark.checkpoint.dir, or of the one given to setCheckpointDir; where
+    neither is set, a temporary one in local mode (tests); on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="plexloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/plexloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{root}/plexloom/{spark.sparkContext.applicationId}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table in the scratch folder."""
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _steps(edges: DataFrame, direction: str) -> DataFrame:

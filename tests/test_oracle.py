@@ -1,5 +1,6 @@
 import pytest
 
+from plexloom.plans import more  # noqa: F401  (adds queries)
 from plexloom.plans.queries import ORACLE_SQL, QUERIES
 from tests.oracle import check
 
