@@ -31,6 +31,8 @@ from plexloom.llm.common import blank_words, map_batches
 SLOTS = 128
 #: Terms whose samples a worker remembers.
 CACHE = 80_000
+#: Terms that are compared at once; their draws fit into a core's cache.
+BLOCK = 512
 #: Rows of a range, about, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 4_000, 20_000
 
@@ -95,8 +97,8 @@ class Sampler:
         best, name, step = np.full(SLOTS, np.inf, np.float32), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.float32)
         once, more = [t for t, n in counts.items() if n == 1], [t for t, n in counts.items() if n > 1]
         for terms in (once, more):
-            for i in range(0, len(terms), 1024):
-                part = terms[i : i + 1024]
+            for i in range(0, len(terms), BLOCK):
+                part = terms[i : i + BLOCK]
                 at = self._find(part)
                 if terms is once:  # ln w is 0, so t is 0
                     a, t = self.single[at], None
@@ -106,8 +108,9 @@ class Sampler:
                     t = np.floor(w / r + beta)
                     a = self.c[at] - r * (t - beta + 1)
                 low = a.min(axis=0)
+                row = (a == low).argmax(axis=0)
                 better = np.flatnonzero(low < best)
-                row = np.argmax(a[:, better].T == low[better][:, None], axis=1)
+                row = row[better]
                 best[better], name[better] = low[better], self.name[at[row]]
                 step[better] = 0 if t is None else t[row, better]
         return (_mix(name + step.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
