@@ -245,15 +245,6 @@ add("route_canonical", r"SELECT page_id, CASE WHEN p = '' THEN '/' ELSE p END AS
 )
 
 
-@add("cross_route_link", "WITH p AS (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, regexp_replace(split_part(split_part(url, '://', 2), '/', 2), '[?#].*$', '') AS path FROM pages), g AS (SELECT host, path, min(page_id) AS page_id FROM p GROUP BY 1, 2)"
-     " SELECT a.page_id AS caller, a.host AS project, b.host AS remote, b.page_id AS handler, 0 AS priority FROM g a JOIN g b ON a.path = b.path AND a.host <> b.host WHERE a.page_id % 50 = 0")
-def _(s, d):
-    rest = F.element_at(F.split("url", "://"), 2)
-    p = t(s, d, "pages").select("page_id", F.element_at(F.split(rest, "/"), 1).alias("project"), F.regexp_replace(F.element_at(F.split(rest, "/"), 2), "[?#].*$", "").alias("path"))
-    g = p.groupBy("project", "path").agg(F.min("page_id").alias("page_id")).withColumn("method", F.lit("GET"))
-    return enrich.cross_routes(g.filter("page_id % 50 = 0").withColumnRenamed("page_id", "caller"), g.withColumnRenamed("page_id", "handler"))
-
-
 _P = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '\$?\{[^}/]*\}|<[^>/]*>|:[A-Za-z_][A-Za-z0-9_]*', '{}', 'g'), '(.)/+$', '\1')"
 
 
@@ -304,17 +295,6 @@ def _(s, d):
     return enrich.runtime_traces(t(s, d, "events").select(F.col("event_type").alias("caller"), nx.alias("callee"), F.lit(None).cast("long").alias("count")))
 
 
-@add("call_resolution", "SELECT o_orderkey AS call_id, CAST(o_custkey AS VARCHAR) AS target, 'container' AS strategy FROM orders WHERE o_custkey % 3 = 0")
-def _(s, d):
-    n = F.col("o_custkey").cast("string")
-    calls = t(s, d, "orders").filter("o_custkey % 3 = 0").select(
-        F.col("o_orderkey").alias("call_id"), F.lit("f").alias("file"), F.concat(F.lit("m"), n).alias("container"), F.concat(F.lit("run"), F.pmod("o_custkey", F.lit(50)).cast("string")).alias("name"), F.lit(None).cast("string").alias("receiver")
-    )
-    key = F.col("c_custkey").cast("string")
-    symbols = t(s, d, "customer").select(key.alias("id"), F.lit("f").alias("file"), F.concat(F.lit("m"), key).alias("container"), F.concat(F.lit("run"), F.pmod("c_custkey", F.lit(50)).cast("string")).alias("name")).withColumn("qualified_name", F.concat_ws(".", "container", "name"))
-    return enrich.resolve_calls(calls, symbols, s.createDataFrame([], "file string, module_path string"))
-
-
 @add("call_resolution_all", "WITH s AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'own' || c_custkey ELSE 'run' || (c_custkey % 50) END AS name FROM customer), u AS (SELECT name FROM s GROUP BY 1 HAVING count(*) = 1)"
      " SELECT o_orderkey AS call_id, CAST(o_custkey AS VARCHAR) AS target, CASE left(o_orderpriority, 1) WHEN '1' THEN 'receiver' WHEN '2' THEN 'import' WHEN '3' THEN 'container' WHEN '4' THEN 'suffix' ELSE 'unique' END AS strategy FROM orders JOIN s ON c_custkey = o_custkey WHERE o_orderpriority <> '5-LOW' OR name IN (SELECT name FROM u)")
 def _(s, d):
@@ -332,11 +312,13 @@ def _(s, d):
     return enrich.resolve_calls(calls, symbols, customers.select(F.concat(F.lit("g"), "id").alias("file"), F.col("container").alias("module_path")))
 
 
-@add("set_diff_files", "SELECT coalesce(a.doc_id, b.doc_id) AS path, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS change FROM (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN lang ELSE text END) AS h FROM documents WHERE doc_id % 3 <> 0) b ON a.doc_id = b.doc_id")
+@add("set_diff_all", "SELECT doc_id AS path, CASE WHEN lang = 'es' THEN 'deleted' WHEN source IN ('src1', 'src2') THEN 'changed' ELSE 'unchanged' END AS change FROM documents UNION ALL SELECT -1 - doc_id, 'new' FROM documents WHERE lang = 'fr'")
 def _(s, d):
+    """All documents against a state in which those of one language are gone, those of two sources are others, and copies
+    of those of another language have been added."""
     from plexloom.sources.store import classify_files
 
     docs = t(s, d, "documents")
-    old = docs.filter("doc_id % 5 <> 0").select(F.col("doc_id").alias("path"), F.md5("text").alias("content_hash"))
-    new = docs.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("path"), F.md5(F.when(F.col("doc_id") % 7 == 0, F.col("lang")).otherwise(F.col("text"))).alias("content_hash"))
-    return classify_files(old, new)
+    new = docs.filter("lang <> 'es'").select(F.col("doc_id").alias("path"), F.md5(F.when(F.col("source").isin("src1", "src2"), F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("content_hash"))
+    added = docs.filter("lang = 'fr'").select((-1 - F.col("doc_id")).alias("path"), F.md5("text").alias("content_hash"))
+    return classify_files(docs.select(F.col("doc_id").alias("path"), F.md5("text").alias("content_hash")), new.unionByName(added))
