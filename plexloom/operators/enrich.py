@@ -98,6 +98,20 @@ def package_links(imports: DataFrame, manifests: DataFrame) -> DataFrame:
     return found.groupBy("module").agg(F.min("manifest").alias("manifest"))
 
 
+def package_targets(imports: DataFrame, manifests: DataFrame, paths: DataFrame) -> DataFrame:
+    """(module, path): the file of paths (path) that an imported module stands for, by its package's manifest (manifest,
+    name, root, entry): the manifest's entry, or what the module says after the package's name, with or without a
+    suffix of its language, or the first file of a folder of that name."""
+    named = package_links(imports, manifests).join(manifests, "manifest").filter((F.col("module") == F.col("name")) | F.startswith("module", F.col("name")))
+    rest = F.regexp_replace(F.substr("module", F.length("name") + 1), r"^[/.:]+", "")
+    entry = F.regexp_replace(F.coalesce("entry", rest), r"^(?:\./)+", "")
+    want = named.select("module", F.array_join(F.filter(F.array("root", entry), lambda x: x != ""), "/").alias("joined"))
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    keys = F.array_distinct(F.concat(F.array("path", F.regexp_replace("path", r"\.(?:rs|go|py|js|ts)$", "")), F.when(F.size(parts) > 1, folders).otherwise(F.expr("cast(array() as array<string>)")), F.array(F.lit(""))))
+    return want.join(paths.select("path", F.explode(keys).alias("joined")), "joined").groupBy("module").agg(F.min("path").alias("path"))
+
+
 def _only(pairs: DataFrame, strategy: str, priority: int) -> DataFrame:
     """Calls for which a strategy leaves one target."""
     one = pairs.groupBy("call_id").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")).filter("n = 1")

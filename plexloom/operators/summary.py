@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from plexloom.graph import GraphView
 
-LAYOUT_NODES, LAYOUT_MOST = 5_000, 250_000
+LAYOUT_NODES, LAYOUT_MOST, LINKED = 5_000, 250_000, 16
+# Colours of labels.
+COLOURS = "#7dd3fc #a78bfa #f472b6 #fb7185 #fbbf24 #4ade80 #2dd4bf #60a5fa #c084fc #f97316 #94a3b8 #e879f9".split()
 
 
 def define_counts(view: GraphView, kind: str = "DEFINES") -> DataFrame:
@@ -86,3 +88,30 @@ def filter_layout(nodes: DataFrame, edges: DataFrame, labels: list[str], kinds:
     kept = nodes.filter(F.col("label").isin(labels))
     ids = kept.select("id")
     return kept, edges.filter(F.col("kind").isin(kinds)).join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+
+
+def label_colour(label):
+    """A label's colour, by the FNV-1a hash (32 bits) of its bytes."""
+    raw = F.hex(F.encode(label, "UTF-8"))
+    octets = F.transform(F.sequence(F.lit(1), F.octet_length(label)), lambda i: F.conv(F.substr(raw, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
+    h = F.aggregate(octets, F.lit(2166136261).cast("long"), lambda s, b: (s.bitwiseXOR(b) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.element_at(F.array(*[F.lit(c) for c in COLOURS]), (F.pmod(h, F.lit(len(COLOURS))) + 1).cast("int"))
+
+
+def linked_layout(view: GraphView, others: dict[str, GraphView], budget: int = LAYOUT_NODES) -> tuple[DataFrame, DataFrame]:
+    """The layout of a project and of the projects that its CROSS_ edges name, at most LINKED by name: nodes (linked, id,
+    x, ...), where linked is empty for the project itself, and cross edges (source, linked, target, kind) to the node
+    of the other project that has the same qualified name as the edge's target."""
+    cross = view.edges.filter(F.col("kind").startswith("CROSS_")).select("source", "target", "kind", F.get_json_object("properties", "$.target_project").alias("linked"))
+    wanted = [r[0] for r in cross.filter("linked is not null").select("linked").distinct().orderBy("linked").limit(LINKED).collect() if r[0] in others]
+    nodes = layout(view, budget).withColumn("linked", F.lit(""))
+    names = None
+    for name in wanted:
+        nodes = nodes.unionByName(layout(others[name], budget).withColumn("linked", F.lit(name)))
+        own = others[name].nodes.select(F.lit(name).alias("linked"), F.col("qualified_name").alias("__q"), F.col("id").alias("__id"))
+        names = own if names is None else names.unionByName(own)
+    if names is None:
+        return nodes, cross.limit(0).select("source", "linked", "target", "kind")
+    here = view.nodes.select(F.col("id").alias("target"), F.col("qualified_name").alias("__q"))
+    found = cross.join(here, "target").join(names, ["linked", "__q"]).select("source", "linked", F.col("__id").alias("target"), "kind")
+    return nodes, found.distinct()

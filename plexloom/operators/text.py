@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,18 +101,33 @@ def directories(lines: DataFrame) -> DataFrame:
 
 # Abbreviations and what they stand for.
 ABBREVIATIONS = {
-    "auth": "authentication", "cfg": "config", "conf": "configuration", "ctx": "context", "db": "database", "dir": "directory", "doc": "document", "err": "error", "fn": "function",
-    "idx": "index", "init": "initialize", "len": "length", "max": "maximum", "min": "minimum", "msg": "message", "num": "number", "obj": "object", "param": "parameter", "pkg": "package",
-    "req": "request", "res": "response", "str": "string", "tmp": "temporary", "usr": "user", "val": "value", "var": "variable",
+    "err": "error", "exc": "exception", "ex": "exception", "ctx": "context", "cfg": "config", "conf": "configuration", "env": "environment", "opt": "option", "opts": "options",
+    "req": "request", "res": "response", "resp": "response", "rsp": "response", "hdr": "header", "hdrs": "headers", "str": "string", "fmt": "format", "msg": "message",
+    "txt": "text", "lbl": "label", "desc": "description", "buf": "buffer", "arr": "array", "vec": "vector", "lst": "list", "dict": "dictionary", "tbl": "table", "stk": "stack",
+    "que": "queue", "fn": "function", "func": "function", "cb": "callback", "proc": "procedure", "ctor": "constructor", "dtor": "destructor", "db": "database", "col": "column",
+    "stmt": "statement", "txn": "transaction", "trx": "transaction", "repo": "repository", "auth": "authentication", "authz": "authorization", "perm": "permission",
+    "cred": "credential", "tok": "token", "pwd": "password", "val": "value", "num": "number", "int": "integer", "bool": "boolean", "flt": "float", "dbl": "double", "idx": "index",
+    "iter": "iterator", "elem": "element", "cnt": "count", "len": "length", "sz": "size", "pos": "position", "off": "offset", "cap": "capacity", "init": "initialize",
+    "deinit": "deinitialize", "alloc": "allocate", "dealloc": "deallocate", "del": "delete", "rm": "remove", "impl": "implementation", "iface": "interface", "abs": "abstract",
+    "decl": "declaration", "param": "parameter", "arg": "argument", "attr": "attribute", "prop": "property", "ret": "return", "src": "source", "dst": "destination",
+    "tgt": "target", "orig": "original", "prev": "previous", "cur": "current", "tmp": "temporary", "temp": "temporary", "conn": "connection", "sess": "session", "sock": "socket",
+    "addr": "address", "url": "uniform", "srv": "server", "cli": "client", "svc": "service", "ep": "endpoint", "mgr": "manager", "ctrl": "controller", "hdlr": "handler",
+    "sched": "scheduler", "disp": "dispatcher", "reg": "registry", "chan": "channel", "sem": "semaphore", "mtx": "mutex", "wg": "waitgroup", "sig": "signal", "evt": "event",
+    "sub": "subscriber", "pub": "publisher", "spec": "specification", "mock": "mock", "stub": "stub", "assert": "assertion", "log": "logging", "lvl": "level", "dbg": "debug",
+    "wrn": "warning", "inf": "info", "ts": "timestamp", "dur": "duration", "ttl": "timetolive", "ver": "version", "ns": "namespace", "pkg": "package", "mod": "module",
+    "lib": "library", "dep": "dependency", "ref": "reference", "ptr": "pointer", "obj": "object", "doc": "document", "cmd": "command", "ops": "operations", "util": "utility",
+    "hlp": "helper", "ext": "extension",
 }
 
 
-def identifier_tokens(c):
-    """Lower-case ASCII parts of an identifier, cut at marks and before capitals; what abbreviations stand for comes last."""
+def identifier_tokens(c, most: int | None = None):
+    """Lower-case ASCII parts of an identifier, cut at marks and before capitals, at most `most`; what abbreviations stand
+    for comes last."""
     parts = F.split(F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2"), r"[./_\- (),:]+")
     plain = F.filter(F.transform(parts, lambda x: F.lower(F.regexp_replace(x, "[^A-Za-z0-9]", ""))), lambda x: x != "")
     table = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    return F.concat(plain, F.filter(F.transform(plain, lambda x: F.try_element_at(table, x)), lambda x: x.isNotNull()))
+    out = F.concat(plain, F.filter(F.transform(plain, lambda x: F.try_element_at(table, x)), lambda x: x.isNotNull()))
+    return out if most is None else F.slice(out, 1, most)
 
 
 def document_frequency(docs: DataFrame, key: str, tokens) -> DataFrame:
@@ -142,3 +158,38 @@ def chunks(c, size: int):
         raise ValueError("chunks are from 256 to 8192")
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(c) - 1), F.lit(size))
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.substr(c, s + 1, F.lit(size)).alias("piece")))
+
+
+def byte_chunks(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(key, start, stop, piece): texts cut into pieces of at most `size` bytes of UTF-8, never inside a character; start
+    and stop are bytes.  An empty text has one empty piece, a null none."""
+    if not CHUNK_BYTES[0] <= size <= CHUNK_BYTES[1]:
+        raise ValueError(f"chunks are from {CHUNK_BYTES[0]} to {CHUNK_BYTES[1]} bytes")
+
+    def run(batches):
+        for batch in batches:
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if value is None:
+                    continue
+                raw, at, out = value.encode("utf-8"), 0, []
+                while at < len(raw) or not out:
+                    stop = min(at + size, len(raw))
+                    while stop < len(raw) and raw[stop] & 0xC0 == 0x80:
+                        stop -= 1
+                    out.append((at, stop, raw[at:stop].decode("utf-8")))
+                    at = stop
+                starts, stops, pieces = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(out), batch.column(0).type), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(pieces, pa.string())], names=[key, "start", "stop", "piece"])
+
+    return rows.select(key, text).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, start long, stop long, piece string")
+
+
+CHUNK_BYTES = (256, 8192)
+
+
+def snippet(node: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, path, start_line, end_line, source, fresh) of nodes (id, file_path, start_line, end_line) in files (path, text,
+    content_hash): their lines as they stand, and whether the text is still the one of its hash."""
+    both = node.join(files, F.col("file_path") == F.col("path"))
+    source = F.array_join(F.slice(F.split("text", "\n"), F.col("start_line").cast("int"), (F.col("end_line") - F.col("start_line") + 1).cast("int")), "\n")
+    return both.select("id", "path", "start_line", "end_line", source.alias("source"), (F.sha2(F.encode("text", "UTF-8"), 256) == F.col("content_hash")).alias("fresh"))

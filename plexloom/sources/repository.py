@@ -10,9 +10,24 @@ from pyspark.sql import functions as F
 from plexloom.operators.names import trackable
 
 MOST_BYTES = 512 << 20
-# Folders never read, and suffixes of files that aren't text.
-SKIPPED_FOLDERS = [".git", ".hg", ".svn", "node_modules", "target", "build", "dist", "__pycache__", ".venv", "venv", ".idea", ".vscode", "vendor"]
-SKIPPED_SUFFIXES = [".png", ".jpg", ".jpeg", ".gif", ".ico", ".zip", ".gz", ".jar", ".class", ".so", ".dll", ".exe", ".pdf", ".woff", ".woff2", ".min.js", ".lock"]
+# Folders, names and suffixes that are never read, and those that a fast scan leaves out besides.
+CORE_FOLDERS = ".git node_modules .worktrees .claude-worktrees".split()
+SKIPPED_FOLDERS = """.git .hg .svn .worktrees .idea .vs .vscode .eclipse .claude .claude-worktrees Antigravity .cache .eggs .env .mypy_cache .nox .pytest_cache .ruff_cache .tox .venv __pycache__ env
+htmlcov site-packages venv .npm .nyc_output .pnpm-store .yarn bower_components coverage node_modules .next .nuxt .svelte-kit .angular .turbo .parcel-cache .docusaurus .expo dist obj Pods target
+temp tmp .terraform .serverless bazel-bin bazel-out bazel-testlogs .cargo .stack-work .dart_tool zig-cache zig-out .metals .bloop .bsp .ccls-cache .clangd elm-stuff _opam .cpcache .shadow-cljs
+.vercel .netlify deploy deployed .qdrant_code_embeddings .tmp vendor vendored""".split()
+FAST_FOLDERS = """generated gen auto-generated fixtures testdata test_data __tests__ __mocks__ __snapshots__ __fixtures__ __test__ docs doc documentation examples example samples sample assets static
+public media third_party thirdparty 3rdparty external migrations seeds e2e integration locale locales i18n l10n scripts tools hack bin build out""".split()
+SKIPPED_SUFFIXES = ".tmp ~ .pyc .pyo .o .a .so .dll .class .png .jpg .jpeg .gif .ico .bmp .tiff .webp .svg .wasm .node .exe .bin .dat .db .sqlite .sqlite3 .woff .woff2 .ttf .eot .otf".split()
+FAST_SUFFIXES = """.zip .tar .gz .bz2 .xz .rar .7z .jar .war .ear .mp3 .mp4 .avi .mov .wav .flac .ogg .mkv .webm .pdf .doc .docx .xls .xlsx .ppt .pptx .odt .ods .map .min.js .min.css .pem .crt
+.key .cer .p12 .pb .avro .parquet .beam .elc .rlib .coverage .prof .out .patch .diff""".split()
+SKIPPED_NAMES = """package.json package-lock.json tsconfig.json jsconfig.json composer.json composer.lock yarn.lock openapi.json swagger.json jest.config.json .eslintrc.json .prettierrc.json
+.babelrc.json tslint.json angular.json firebase.json renovate.json lerna.json turbo.json .stylelintrc.json pnpm-lock.json deno.json biome.json devcontainer.json .devcontainer.json launch.json
+settings.json extensions.json tasks.json""".split()
+FAST_NAMES = """LICENSE LICENSE.txt LICENSE.md LICENSE-MIT LICENSE-APACHE LICENCE LICENCE.txt LICENCE.md CHANGELOG CHANGELOG.md CHANGES.md HISTORY HISTORY.md AUTHORS AUTHORS.md CONTRIBUTORS
+CONTRIBUTORS.md CODEOWNERS go.sum yarn.lock pnpm-lock.yaml Pipfile.lock poetry.lock Gemfile.lock Cargo.lock mix.lock flake.lock pubspec.lock composer.lock package-lock.json configure Makefile.in
+config.guess config.sub""".split()
+FAST_PARTS = ".d.ts .bundle. .chunk. .generated. .pb.go _pb2.py .pb2.py _grpc.pb.go _string.go mock_ _mock. _test_helpers. .stories. .spec. .test.".split()
 # Languages by whole name, compound suffix and suffix.
 BY_NAME = {"Dockerfile": "dockerfile", "Makefile": "make", "CMakeLists.txt": "cmake", "go.mod": "gomod"}
 BY_COMPOUND = {".d.ts": "typescript", ".blade.php": "blade"}
@@ -22,30 +37,37 @@ BY_SUFFIX = {
 }
 
 
-def discover(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+def discover(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES, fast: bool = False, overrides: dict[str, str] | None = None) -> DataFrame:
     """(path, length, modified, content_hash, text, language) of the text files under root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     files = files.filter(F.col("length") <= most_bytes).withColumn("path", F.substr(rel, F.lit(len("/" + root.strip("/")) + 2)))
-    return files.filter(allowed(F.col("path"))).select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("text"), language(F.col("path")).alias("language"))
-
-
-def allowed(path):
-    folder = F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in SKIPPED_FOLDERS]))
-    suffix = F.lit(False)
-    for s in SKIPPED_SUFFIXES:
-        suffix = suffix | F.endswith(F.lower(path), F.lit(s))
-    return ~folder & ~suffix
+    return files.filter(allowed(F.col("path"), fast)).select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("text"), language(F.col("path"), overrides).alias("language"))
+
+
+def allowed(path, fast: bool = False):
+    """Whether a file is read: none of its folders, and neither its name nor its suffix, is one that is left out."""
+    parts = F.split(path, "/")
+    folders, name = F.slice(parts, 1, F.size(parts) - 1), F.element_at(parts, -1)
+    out = ~F.arrays_overlap(folders, F.array(*[F.lit(x) for x in SKIPPED_FOLDERS + FAST_FOLDERS * fast])) & ~name.isin(SKIPPED_NAMES + FAST_NAMES * fast)
+    for s in SKIPPED_SUFFIXES + FAST_SUFFIXES * fast:
+        out = out & ~F.endswith(name, F.lit(s))
+    for s in FAST_PARTS * fast:
+        out = out & ~F.contains(name, F.lit(s))
+    return out
 
 
-def language(path):
-    """By whole name, then compound suffix, then suffix; null if none is known."""
+def language(path, overrides: dict[str, str] | None = None):
+    """By a given suffix of `overrides`, then whole name, compound suffix and suffix; null if none is known."""
     name = F.substring_index(path, "/", -1)
     table = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
     compound = F.lit(None).cast("string")
     for s in sorted(BY_COMPOUND, key=len):
         compound = F.when(F.endswith(name, F.lit(s)), BY_COMPOUND[s]).otherwise(compound)
-    return F.coalesce(F.try_element_at(table(BY_NAME), name), compound, F.when(F.contains(name, F.lit(".")), F.try_element_at(table(BY_SUFFIX), F.lower(F.substring_index(name, ".", -1)))))
+    given = F.lit(None).cast("string")
+    for s in sorted(overrides or {}, key=len):
+        given = F.when(F.endswith(name, F.lit(s)), overrides[s]).otherwise(given)
+    return F.coalesce(given, F.try_element_at(table(BY_NAME), name), compound, F.when(F.contains(name, F.lit(".")), F.try_element_at(table(BY_SUFFIX), F.lower(F.substring_index(name, ".", -1)))))
 
 
 def ignore_filter(path, rules: list[str]):
@@ -63,6 +85,40 @@ def ignore_filter(path, rules: list[str]):
     return out
 
 
+def stacked_ignore(path, rule_sets: list[tuple[str, list[str]]]):
+    """ignore_filter() with rules of several folders: those of a folder (its path, empty for the root) count for what lies
+    in it, and those of a deeper one come after.  Folders that are never read stay out, whatever a rule says."""
+    from plexloom.operators.text import glob_regex
+
+    out = F.lit(True)
+    for base, rules in sorted(rule_sets, key=lambda r: (r[0].count("/") + bool(r[0]), r[0])):
+        prefix = base.strip("/") + "/" if base.strip("/") else ""
+        rel = F.substr(path, F.lit(len(prefix) + 1))
+        for rule in rules:
+            if not rule.strip() or rule.startswith("#"):
+                continue
+            keep, glob = rule.startswith("!"), rule.removeprefix("!").rstrip("/")
+            body = glob_regex(glob.removeprefix("/"))[1:-1]
+            rx = f"^{body}(/|$)" if "/" in glob else f"(^|/){body}(/|$)"
+            out = F.when(F.startswith(path, F.lit(prefix)) & rel.rlike(rx), F.lit(keep)).otherwise(out)
+    return out & ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in CORE_FOLDERS]))
+
+
+def manifests(files: DataFrame) -> DataFrame:
+    """(manifest, name, root, entry) of the package manifests among files (path, text): package.json, go.mod, Cargo.toml
+    and pyproject.toml; those that name no package are left out."""
+    path, text_ = F.col("path"), F.col("text")
+    base = F.element_at(F.split(path, "/"), -1)
+    of_json = lambda k: F.try_variant_get(F.try_parse_json("text"), f"$.{k}", "string")
+    section = F.regexp_extract(text_, r"(?sm)^[ \t]*\[(?:package|project|tool\.poetry)\][ \t]*\r?$(.*?)(?=^[ \t]*\[|\z)", 1)
+    toml = F.regexp_extract(section, r"""(?m)^[ \t]*name[ \t]*=[ \t]*["']?([^"'\r\n]*?)["']?[ \t]*\r?$""", 1)
+    go = F.trim(F.regexp_extract(text_, r"(?m)^[ \t]*module ([^\r\n]*)", 1))
+    name = F.when(F.endswith(path, F.lit("package.json")), of_json("name")).when(F.endswith(path, F.lit("go.mod")), F.nullif(go, F.lit(""))).when(base.isin("Cargo.toml", "pyproject.toml"), F.nullif(toml, F.lit("")))
+    entry = F.when(F.endswith(path, F.lit("package.json")), F.coalesce(of_json("module"), of_json("main")))
+    root = F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
+    return files.select(path.alias("manifest"), name.alias("name"), root.alias("root"), entry.alias("entry")).filter("name is not null")
+
+
 def git_log(lines: DataFrame) -> DataFrame:
     """(sha, ts, path) of a log (n, value) whose COMMIT:<sha>:<ts> lines head the paths of each commit.
 

@@ -151,3 +151,66 @@ def test_hunks(spark):
 
 def test_patterns(spark):
     assert spark.range(1).filter(F.lit("src/a/b.rs").rlike(text.glob_regex("src/**/*.rs"))).count() == 1
+
+
+def test_policies(spark):
+    ok = lambda p, fast=False: spark.range(1).select(repository.allowed(F.lit(p), fast)).first()[0]
+    assert ok("src/a.rs") and not ok("a/.venv/x.py") and not ok("a/x.pyc") and not ok("tsconfig.json") and ok("docs/x.py") and ok("vendor.rs")
+    assert not ok("docs/x.py", True) and not ok("a/mock_x.go", True) and not ok("LICENSE", True) and not ok("x.pdf", True) and ok("src/a.rs", True)
+    rows = spark.createDataFrame([("a.log",), ("sub/a.log",), ("sub/keep.log",), ("sub/deep/keep.log",), ("sub/deep/x.txt",), ("node_modules/y.js",)], "p string")
+    rules = [("sub/deep", ["*.txt", "!keep.log"]), ("", ["*.log", "!node_modules/"]), ("sub", ["!keep.log"])]
+    assert sorted(r.p for r in rows.filter(repository.stacked_ignore(F.col("p"), rules)).collect()) == ["sub/deep/keep.log", "sub/keep.log"]
+    assert spark.range(1).select(repository.language(F.lit("x.foo.py"), {".foo.py": "foo", ".py": "other"})).first()[0] == "foo"
+
+
+def test_manifests(spark):
+    from plexloom.operators import enrich
+
+    files = [
+        ("web/package.json", '{"name": "@x/web", "main": "./lib/index.js"}'), ("go.mod", "// c\n module example.com/tool \n"), ("core/Cargo.toml", "[workspace]\nname = 'no'\n[package]\nversion = '1'\nname = \"core\"\n[lib]\nname = \"other\"\n"),
+        ("py/pyproject.toml", "[tool.poetry]\r\nname = 'pie'\r\n"), ("bad/package.json", "{"), ("none/Cargo.toml", "[lib]\nname = 'x'"), ("src/a.rs", "name = 'core'"),
+    ]
+    got = repository.manifests(spark.createDataFrame(files, "path string, text string"))
+    assert sorted(map(tuple, got.collect())) == [("core/Cargo.toml", "core", "core", None), ("go.mod", "example.com/tool", "", None), ("py/pyproject.toml", "pie", "py", None), ("web/package.json", "@x/web", "web", "./lib/index.js")]
+    paths = spark.createDataFrame([(p,) for p in ("web/lib/index.js", "web/a.js", "cmd/run.go", "core/src/lib.rs", "core/net.rs", "py/pie.py")], "path string")
+    imports = spark.createDataFrame([(m,) for m in ("@x/web", "example.com/tool/cmd", "core::net", "core::src", "pie", "unknown", "corex")], "module string")
+    assert dict(map(tuple, enrich.package_targets(imports, got, paths).collect())) == {"@x/web": "web/lib/index.js", "example.com/tool/cmd": "cmd/run.go", "core::net": "core/net.rs", "core::src": "core/src/lib.rs", "pie": "py/pie.py"}
+
+
+def test_byte_chunks(spark):
+    texts = [(1, "é" * 300), (2, ""), (3, None), (4, "😀" * 100 + "a"), (5, "x" * 256)]
+    rows = text.byte_chunks(spark.createDataFrame(texts, "id long, text string"), "id", "text", 257).collect()
+    by = {}
+    for r in sorted(rows):
+        by.setdefault(r.id, []).append(r)
+    assert {i: "".join(r.piece for r in rs) for i, rs in by.items()} == {i: t for i, t in texts if t is not None}
+    assert all(r.stop - r.start == len(r.piece.encode()) <= 257 for r in rows) and [r.start for r in by[1]] == [0, 256, 512] and len(by[2]) == 1
+    with pytest.raises(ValueError, match="bytes"):
+        text.byte_chunks(spark.createDataFrame(texts, "id long, text string"), "id", "text", 10)
+
+
+def test_snippets(spark):
+    import hashlib
+
+    files = spark.createDataFrame([("a.rs", "one\ntwo\nthree", hashlib.sha256(b"one\ntwo\nthree").hexdigest()), ("b.rs", "x", "old")], "path string, text string, content_hash string")
+    nodes = spark.createDataFrame([("n", "a.rs", 2, 3), ("m", "b.rs", 1, 1)], "id string, file_path string, start_line long, end_line long")
+    assert sorted((r.id, r.source, r.fresh) for r in text.snippet(nodes, files).collect()) == [("m", "x", False), ("n", "two\nthree", True)]
+
+
+def test_colours_and_linked_layout(spark, view):
+    from plexloom.operators import summary
+
+    def fnv(s):
+        h = 2166136261
+        for b in s.encode():
+            h = (h ^ b) * 16777619 % 2**32
+        return summary.COLOURS[h % 12]
+
+    labels = ["Function", "Class", "Größe"]
+    got = spark.createDataFrame([(x,) for x in labels], "x string").select("x", summary.label_colour(F.col("x")).alias("c")).collect()
+    assert {r.x: r.c for r in got} == {x: fnv(x) for x in labels}
+    link = spark.createDataFrame([("p", "f1", "c1", "CROSS_HTTP_CALLS", "", '{"target_project":"q"}'), ("p", "f1", "c1", "CROSS_X", "", '{"target_project":"absent"}')], EDGE)
+    other = GraphView(view.nodes.filter("id in ('c1', 'f1')").withColumn("id", F.concat(F.lit("q-"), "id")), view.edges.limit(0))
+    nodes, links = summary.linked_layout(GraphView(view.nodes, view.edges.unionByName(link)), {"q": other})
+    assert nodes.filter("linked = 'q'").count() == 2 and nodes.filter("linked = ''").count() == 8
+    assert [tuple(r) for r in links.collect()] == [("f1", "q", "q-c1", "CROSS_HTTP_CALLS")]
