@@ -21,10 +21,17 @@ GRPC = "google.golang.org/grpc grpc. grpcio io.grpc ManagedChannel Grpc.Net.Clie
 GRAPHQL = "graphql apollo urql relay gqlgen juniper async-graphql graphene strawberry".split()
 TRPC = "@trpc/server @trpc/client @trpc/react-query createTRPCRouter trpc.".split()
 BROKERS = {
-    "cloudtasks": "cloud_tasks", "cloud_tasks": "cloud_tasks", "cloud.tasks": "cloud_tasks", "CloudTasks": "cloud_tasks", "pubsub": "pubsub", "cloud.pubsub": "pubsub", "PubSub": "pubsub",
-    "aws-sdk-go/service/sqs": "sqs", "aws-sdk-go.service.sqs": "sqs", "aws_sdk_sqs": "sqs", "kafka": "kafka", "Kafka": "kafka", "sarama": "kafka", "confluent": "kafka", "amqp": "rabbitmq",
-    "AMQP": "rabbitmq", "RabbitMQ": "rabbitmq", "lapin": "rabbitmq", "MassTransit": "rabbitmq", "nats": "nats", "NATS": "nats", "ioredis": "redis", "celery": "celery", "Celery": "celery",
-    "dramatiq": "dramatiq", "huey": "huey", "bullmq": "bullmq", "BullMQ": "bullmq", "bull.Queue": "bull", "Sidekiq": "sidekiq", "sidekiq": "sidekiq", "mqtt": "mqtt", "mosquitto": "mqtt",
+    "cloudtasks": "cloud_tasks", "cloud_tasks": "cloud_tasks", "cloud.tasks": "cloud_tasks", "CloudTasks": "cloud_tasks", "pubsub": "pubsub", "cloud.pubsub": "pubsub",
+    "PubSub": "pubsub", "aws-sdk-go/service/sqs": "sqs", "aws-sdk-go.service.sqs": "sqs", "aws_sdk_sqs": "sqs", "Amazon.SQS": "sqs", "@aws-sdk/client-sqs": "sqs",
+    "boto3.client.sqs": "sqs", "aws-sdk-go/service/sns": "sns", "aws_sdk_sns": "sns", "Amazon.SNS": "sns", "@aws-sdk/client-sns": "sns", "eventbridge": "eventbridge",
+    "EventBridge": "eventbridge", "aws_sdk_lambda": "lambda", "@aws-sdk/client-lambda": "lambda", "stepfunctions": "stepfunctions", "ServiceBus": "servicebus",
+    "Azure.Messaging": "servicebus", "kafka": "kafka", "Kafka": "kafka", "kafkajs": "kafka", "sarama": "kafka", "rdkafka": "kafka", "confluent": "kafka", "amqp": "rabbitmq",
+    "AMQP": "rabbitmq", "amqplib": "rabbitmq", "RabbitMQ": "rabbitmq", "lapin": "rabbitmq", "MassTransit": "rabbitmq", "nats": "nats", "NATS": "nats", "ioredis": "redis",
+    "celery": "celery", "Celery": "celery", "dramatiq": "dramatiq", "huey": "huey", "python-rq": "rq", "rq.Queue": "rq", "bullmq": "bullmq", "BullMQ": "bullmq",
+    "bull.Queue": "bull", "Sidekiq": "sidekiq", "sidekiq": "sidekiq", "Resque": "resque", "GoodJob": "goodjob", "DelayedJob": "delayed_job", "Hangfire": "hangfire",
+    "NServiceBus": "nservicebus", "asynq": "asynq", "RichardKnop/machinery": "machinery", "temporalio": "temporal", "@temporalio": "temporal", "temporal.client": "temporal",
+    "temporal.worker": "temporal", "inngest": "inngest", "Oban": "oban", "Broadway": "broadway", "GenStage": "genstage", "Phoenix.PubSub": "phoenix_pubsub", "Alpakka": "alpakka",
+    "mqtt": "mqtt", "MQTTClient": "mqtt", "mosquitto": "mqtt", "rumqttc": "mqtt", "dapr.clients.grpc": "dapr", "DaprClient": "dapr",
 }
 LISTENERS = {"kafkalistener": "kafka", "sqslistener": "sqs", "rabbitlistener": "rabbitmq", "eventpattern": "nestjs", "messagepattern": "nestjs", "pubsubsubscription": "pubsub", "celery.task": "celery", "sidekiq": "sidekiq", "queue.process": "bull"}
 _WORD = r"^[\p{L}\p{N}_]+$"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -112,7 +113,7 @@ def search_filter(view: GraphView, r: SearchRequest) -> DataFrame:
         ends = view.edges.filter(F.col("kind") == r.relationship).select(F.explode(F.array("source", "target")).alias("id")).distinct()
         df = df.join(ends, "id", "left_semi")
     if r.query is not None:
-        hits = text_search(view.nodes.select("id", F.concat_ws(" ", *SEARCHED).alias("text")), "id", "text", r.query)
+        hits = text_search(view.nodes.select("id", F.concat_ws(" ", *SEARCHED).alias("text")), "id", "text", r.query, folded=True)
         df = df.join(hits.withColumnRenamed("score", "rank"), "id")
     if r.degrees or r.min_degree is not None or r.max_degree is not None:
         ends = view.edges.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(0).alias("i")), F.struct(F.col("target").alias("id"), F.lit(1).alias("i")))).alias("x")).select("x.id", "x.i")
@@ -190,6 +191,21 @@ def tokens(c):
     return F.filter(F.split(F.lower(c), TOKENS), lambda x: x != "")
 
 
+def _folded(text: str) -> str:
+    """Small letters without accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
+
+
+#: Letters with accents up to U+1EFF, and the letter that each is without them.
+_ACCENTED = {c: f for c in map(chr, range(0xC0, 0x1F00)) if len(f := _folded(c)) == 1 and f != c.lower() and c.isalpha()}
+
+
+def folded_tokens(c):
+    """Words of letters and digits, in small letters and without accents, as names are searched."""
+    plain = F.translate(F.lower(c), "".join(_ACCENTED), "".join(_ACCENTED.values()))
+    return F.filter(F.split(F.regexp_replace(plain, r"\p{Mn}+", ""), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
 def equals(word: str):
     return lambda x: x == word
 
@@ -236,12 +252,15 @@ def _score(counts: DataFrame, total: DataFrame, key: str, query: list[list[tuple
     return both.filter(fits).select(key, (-score).alias("score"))
 
 
-def text_search(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
-    """(key, score) of the rows that a text query fits; each text is read once, and only its counts are kept."""
+def text_search(docs: DataFrame, key: str, text: str, query: str, folded: bool = False) -> DataFrame:
+    """(key, score) of the rows that a text query fits; each text is read once, and only its counts are kept.  If folded,
+    words have no accents and end at underscores, in texts as in the query."""
     parsed = parse_text_query(query)
+    if folded:
+        parsed = [[(w, prefix, excluded) for word, prefix, excluded in a for w in re.findall(r"[^\W_]+", _folded(word))] for a in parsed]
     terms = sorted({t[:2] for a in parsed for t in a})
     names = {t: i for i, t in enumerate(terms)}
-    held = docs.select(key, tokens(F.col(text)).alias("t")).withColumn("n", F.size("t"))
+    held = docs.select(key, (folded_tokens if folded else tokens)(F.col(text)).alias("t")).withColumn("n", F.size("t"))
     counts = cut(held.select(key, "n", *[F.size(_hit("t", (*t, False))).alias(f"tf{i}") for i, t in enumerate(terms)]))
     total = counts.agg(F.count("*").alias("docs"), F.avg("n").alias("avg"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     return _score(counts, total, key, parsed, names)

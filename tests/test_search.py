@@ -48,6 +48,12 @@ def test_text_queries():
     assert parse("NOT x") == [] and parse("") == []
 
 
+def test_accents(spark):
+    docs = spark.createDataFrame([(1, "Café ÑANDÚ"), (2, "cafe\u0301_bar"), (3, "Größe caf")], "id long, body string")
+    found = lambda q: sorted(r.id for r in search.text_search(docs, "id", "body", q, folded=True).collect())
+    assert found("CAFÉ") == [1, 2] and found("nandu") == [1] and found("cafe_bar") == [2] and found("größe OR ñandú") == [1, 3] and found("caf*") == [1, 2, 3]
+
+
 def test_index_is_the_scan(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red fox red"), (2, "Red hen"), (3, None), (4, "fox"), (5, "reddish fox hen hen")], "id long, body string")
     search.build_text_index(docs, "id", "body", str(tmp_path))
