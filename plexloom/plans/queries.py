@@ -100,7 +100,6 @@ def _(s, d):
 
 
 # -- summaries
-_CO = {"Customer", "Order", "Nation"}
 _EDGES = "(SELECT 'customer:' || o_custkey AS s, 'order:' || o_orderkey AS t, 'PLACED' AS k FROM orders UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'IN_NATION' FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'IN_NATION' FROM supplier)"
 
 
@@ -160,7 +159,6 @@ add("search_bm25", "WITH h AS (SELECT doc_id, list_filter(regexp_split_to_array(
 )
 
 # -- traversal
-_REACH = _HOPS + ", h1 AS (SELECT DISTINCT t AS v FROM e WHERE s = 'error' AND t <> 'error'), h2 AS (SELECT DISTINCT t AS v FROM e JOIN h1 ON e.s = h1.v WHERE t <> 'error' AND t NOT IN (SELECT v FROM h1)) "
 
 
 def _seed(s, key: str, level: bool = False) -> DataFrame:

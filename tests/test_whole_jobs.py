@@ -113,3 +113,20 @@ def test_chunks_of_long_texts(spark):
     for r in QUERIES["snippet_chunks_all"](spark, "/root/testdata/sf0.01").orderBy("doc_id", "start").collect():
         pieces.setdefault(r.doc_id, []).append(r.piece)
     assert {k: "".join(v) for k, v in pieces.items()} == texts and max(map(len, pieces.values())) > 100
+
+
+def test_band_keys(spark):
+    """Signatures share a band's key exactly where both of its slots are equal."""
+    a = list(range(64))
+    rows = [(1, a), (2, [x if i % 4 < 2 else -x - 1 for i, x in enumerate(a)]), (3, [-x - 1 for x in a])]
+    keys = {r.id: r.k for r in spark.createDataFrame(rows, "id long, s array<long>").select("id", vectors.band_keys(F.col("s")).alias("k")).collect()}
+    assert len(keys[1]) == 32 and [x == y for x, y in zip(keys[1], keys[2], strict=True)] == [i % 2 == 0 for i in range(32)] and not set(keys[1]) & set(keys[3])
+
+
+def test_config_links(spark):
+    """Keys in symbols' names, of every length, against plain search."""
+    keys, names = ["db.url", "x", "Server_Port", "a-b", "longer_than_any_symbol_here", "!!"], ["dbUrl", "getServerPort", "a_b", "box", "", "URL"]
+    k, s = spark.createDataFrame([(x,) for x in keys], "key string"), spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    plain = lambda x: "".join(c for c in x if c.isalnum()).lower()
+    want = {(x, i, 0.85 if plain(x) == plain(n) else 0.75) for x in keys for i, n in enumerate(names) if plain(x) and plain(x) in plain(n)}
+    assert {(r.key, r.id, float(r.confidence)) for r in enrich.config_links(k, s).collect()} == want and len(want) > 4
