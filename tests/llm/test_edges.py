@@ -154,3 +154,28 @@ def test_pipeline_stages(spark):
     assert all(r[2] == 0 for r in decontaminate.brute_force([(r.doc_id, r.text) for r in rows], bench))
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert mixed.count() > 0 and mixed.agg(F.max("copy")).first()[0] <= 3
+
+
+def test_chat_cycles(spark):
+    """Nodes in a cycle have no leaf; absent parents make roots; long texts and extra columns of other names do no harm."""
+    long = "<|im_end|>\\[" * 20_000
+    rows = [
+        (1, 1, 2, "user", "in a cycle", 0.0), (1, 2, 1, "user", "in a cycle too", 0.0), (2, 1, 9, "user", long, 0.0), (2, 2, 1, "assistant", long, 1.0), (3, 1, 1, "user", "its own parent", 0.0), (None, 1, None, "user", "no tree", None),
+        (4, 1, None, "user", "a", 0.0), (4, 2, 1, "assistant", "b", 0.5), (4, 3, 1, "assistant", "c", 0.5),
+    ]
+    frame = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double").withColumns({c: F.lit("mine") for c in ("leaf", "back", "turns", "t2", "n2", "loss", "up")})
+    got = {r.tree: [(t.role, t.text) for t in r.turns] for r in chat_format.read_back(chat_format.format_trees(frame)).collect()}
+    assert got == {2: [("user", long), ("assistant", long)], None: [("user", "no tree")], 4: [("user", "a"), ("assistant", "b")]}
+
+
+def test_items_without_an_id(spark):
+    """Items without an id count as one; several blocks and one give the same."""
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two"), (None, "two three"), (7, "four")], "item_id long, text string")
+    whole = decontaminate.search(docs, bench).collect()
+    assert {r.doc_id: (r.spans, r["items"]) for r in whole} == {1: ([[0, 3]], [""]), 2: ([[0, 1]], ["7"]), 3: ([], [])}
+    blocks, decontaminate.BLOCK_BYTES = decontaminate.BLOCK_BYTES, 1
+    try:
+        assert sorted(map(str, decontaminate.search(docs, bench).collect())) == sorted(map(str, whole))
+    finally:
+        decontaminate.BLOCK_BYTES = blocks
