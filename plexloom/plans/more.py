@@ -48,11 +48,10 @@ def _(s, d):
     return search.search_text_index(s, path, "doc_id", "license AND the").withColumn("score", F.round("score", 4))
 
 
-@add("search_graph_text", "SELECT 'part:' || p_partkey AS id, degree FROM (SELECT p_partkey, p_name, count(l_orderkey) AS degree FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2) WHERE (contains(p_name, 'red') AND contains(p_name, 'ring') OR contains(p_name, 'gear')) AND degree >= 20 ORDER BY 1 LIMIT 200")
+@add("search_graph_text", "SELECT 'part:' || p_partkey AS id, degree FROM (SELECT p_partkey, p_name, count(l_orderkey) AS degree FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2) WHERE (contains(p_name, 'red') AND contains(p_name, 'ring') OR contains(p_name, 'gear')) AND degree >= 20")
 def _(s, d):
     view = commerce(s, d, {"Part", "Order"}, {"CONTAINS"})
-    page, _, _ = search.search_graph(view, search.SearchRequest(query='"red ring" OR gear', label="Part", min_degree=20))
-    return page.select("id", "degree")
+    return search.search_filter(view, search.SearchRequest(query='"red ring" OR gear', label="Part", min_degree=20)).select("id", "degree")
 
 
 add("trace_path", f"WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), r(c, h) AS (SELECT 'customer:42', 0 UNION ALL SELECT e.t, h + 1 FROM r JOIN e ON e.s = r.c WHERE h < 2) SELECT c AS id, CAST(min(h) AS INTEGER) AS hop FROM r GROUP BY c HAVING min(h) > 0")(
