@@ -1,6 +1,7 @@
 """Passes over facts of code, on small sources, and the functions that read names and lines."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -217,3 +218,15 @@ def test_semantic_index(spark):
     with pytest.raises(LookupError, match="n3"):
         vectors.with_nodes(weights, nodes, strict=True)
     assert [r.id for r in vectors.indexed_nodes(nodes, ["Module"]).collect()] == ["n1"]
+
+
+def test_data_flows_of_one_route(spark, monkeypatch):
+    """All pairs of a route that nearly everything meets in, each once, and in no task more than a small share of them."""
+    monkeypatch.setattr(enrich, "FLOW_BLOCK", 16, raising=False)
+    calls = [(f"c{i}", "r", "HTTP_CALLS") for i in range(300)] + [("c1", "r", "HTTP_CALLS"), ("x", "q", "HTTP_CALLS"), ("lone", "p", "HTTP_CALLS")]
+    handles = [(f"h{i}", "r", "HANDLES") for i in range(200)] + [("c0", "r", "HANDLES"), ("x", "q", "HANDLES"), ("y", "q", "HANDLES"), ("y", "q", "HANDLES")]
+    got = enrich.data_flows(spark.createDataFrame(calls + handles, "source string, target string, kind string"))
+    rows = [tuple(r) for r in got.select("source", "target", "route", F.spark_partition_id()).collect()]
+    want = {(f"c{i}", t, "r") for i in range(300) for t in [f"h{j}" for j in range(200)] + ["c0"] if f"c{i}" != t} | {("x", "y", "q")}
+    assert len(rows) == len(want) and {r[:3] for r in rows} == want
+    assert max(Counter(r[3] for r in rows).values()) < len(want) / 4
