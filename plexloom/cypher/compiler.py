@@ -14,6 +14,7 @@ its values in ascending order, as bindings have none.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -70,11 +71,34 @@ class Bindings:
     maybe: frozenset[str] = frozenset()  # aliases that OPTIONAL MATCH may have left null
 
 
+#: Column of bindings that says how many equal ones a row stands for.
+TIMES = "__times"
+#: Aggregates that can be had of bindings with such a column: all by how many there are, or whatever their number.
+COUNTED = {"count", "min", "max"}
+
+
+def _aliases(x: object) -> set[str]:
+    """Aliases that an expression, a pattern, or any list of these refers to."""
+    if isinstance(x, Chain):
+        return {p.alias for p in (*x.nodes, *x.edges)}
+    if isinstance(x, tuple) and len(x) == 2 and x[0] == "ref" and isinstance(x[1], list):
+        return {x[1][0]}
+    return set().union(*map(_aliases, x)) if isinstance(x, list | tuple) else set()
+
+
+def _orderable(t: T.DataType) -> bool:
+    """Whether rows can be grouped by a value of type t."""
+    if isinstance(t, T.StructType):
+        return all(_orderable(f.dataType) for f in t.fields)
+    return _orderable(t.elementType) if isinstance(t, T.ArrayType) else not isinstance(t, T.MapType | T.VariantType)
+
+
 class Compiler:
     def __init__(self, view: GraphView, text: str) -> None:
         degree = re.search(r"\b(in_degree|out_degree|degree)\b", text)
         self.nodes = view.nodes_with_degrees() if degree else view.nodes
         self.edges, self.flags = view.edges, 0
+        self.used: Counter[str] | None = None
 
     # -- patterns
     def _nodes(self, p) -> DataFrame:
@@ -129,10 +153,32 @@ class Compiler:
     def clause(self, chains: list[Chain]) -> Bindings:
         out = None
         for c in chains:
-            df, kinds = self.chain(c)
-            out = Bindings(df, kinds) if out is None else self.join(out, Bindings(df, kinds), "inner")
+            own = self.folded(Bindings(*self.chain(c)))
+            out = own if out is None else self.join(out, own, "inner")
         return out
 
+    def folded(self, b: Bindings) -> Bindings:
+        """Bindings of one pattern, in which those that differ only in aliases that nothing else refers to are one row and
+        their number; so patterns that share an alias with many bindings don't give all pairs of these to be counted."""
+        if self.used is None:
+            return b
+        kept = [a for a in b.kinds if self.used[a] > 1]
+        if len(kept) == len(b.kinds) or not all(_orderable(b.df.schema[a].dataType) for a in kept):
+            return b
+        df = b.df.groupBy(*[F.col(f"`{a}`") for a in kept]).agg(F.count(F.lit(1)).alias(TIMES))
+        return Bindings(df if kept else df.filter(F.col(TIMES) > 0), {a: b.kinds[a] for a in kept}, b.maybe & frozenset(kept))
+
+    def _foldable(self, query: Query) -> Counter[str] | None:
+        """How many patterns and other expressions use each alias, if the query joins patterns only to aggregate them in a
+        way that bindings with their numbers allow; else None."""
+        clause = query.with_ or query.return_
+        aggs = [p.expr for p in clause.items or [] if p.expr[0] == "agg"]
+        chains = [c for m in query.matches for c in m.chains]
+        if len(chains) < 2 or not aggs or not all(e[1] in COUNTED for e in aggs) or query.unwind or any(m.optional for m in query.matches):
+            return None
+        others = [*[m.where for m in query.matches], [p.expr for p in clause.items], [e for e, _ in clause.order]]
+        return Counter(a for x in (*chains, *others) for a in _aliases(x))
+
     def join(self, left: Bindings, right: Bindings, how: str) -> Bindings:
         """Join on shared aliases.  One that is null on the left, for want of an optional match, is bound anew."""
         open_ = [a for a in right.kinds if a in left.maybe and a in left.kinds]
@@ -143,6 +189,9 @@ class Compiler:
             return Bindings(held.df.unionByName(free.df, allowMissingColumns=True), held.kinds, held.maybe | free.maybe)
         shared = [a for a in right.kinds if a in left.kinds]
         df, cond = right.df, []
+        counted = TIMES in df.columns
+        if counted:
+            df = df.withColumnRenamed(TIMES, "__more")
         for a in shared:
             if left.kinds[a] != right.kinds[a]:
                 raise CypherError(f"{a} is both {left.kinds[a]} and {right.kinds[a]}")
@@ -153,6 +202,8 @@ class Compiler:
             out = left.df.crossJoin(df)
         else:
             out = left.df.join(df, cond or F.lit(True), how)
+        if counted:
+            out = out.withColumn(TIMES, F.col(TIMES) * F.col("__more") if TIMES in out.columns else F.col("__more")).drop("__more")
         kinds = left.kinds | (right.kinds if how in ("inner", "left") else {})
         maybe = left.maybe | right.maybe | (frozenset(right.kinds) - frozenset(left.kinds) if how == "left" else frozenset())
         return Bindings(out.drop(*[f"__s_{a}" for a in shared]), kinds, maybe)
@@ -280,13 +331,15 @@ class Compiler:
     # -- projections
     def _aggregate(self, b: Bindings, expr: tuple) -> Column:
         _, name, distinct, target = expr
+        counted = TIMES in b.df.columns
+        times = lambda held: F.coalesce(F.sum(F.when(held, F.col(TIMES))), F.lit(0).cast("long"))
         if target is None:
-            return F.count(F.lit(1))
+            return times(F.lit(True)) if counted else F.count(F.lit(1))
         v = self.value(b, target)
         c = v.col["id"] if v.kind == "node" else F.struct(*[v.col[x] for x in ("source", "target", "kind", "discriminator")]) if v.kind == "edge" else v.col
         c = F.when(v.col.isNotNull(), c) if v.kind != "value" else c
         if name == "count":
-            return F.count_distinct(c) if distinct else F.count(c)
+            return F.count_distinct(c) if distinct else times(c.isNotNull()) if counted else F.count(c)
         if name == "collect":
             return F.array_sort(F.collect_set(c) if distinct else F.collect_list(c))
         if name in ("min", "max"):
@@ -364,6 +417,7 @@ class Compiler:
         return Bindings(df.select(*[F.col(f"`{n}`") for n in names]), b.kinds, b.maybe)
 
     def query(self, query: Query, stable: bool = True) -> DataFrame:
+        self.used = self._foldable(query)
         b = self.matches(query)
         if query.with_:
             b = self.finish(*self.project(b, query.with_), query.with_, True)

@@ -3,8 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from plexloom.cypher import CypherError, compile_query, parse_query, query_graph
+from plexloom.cypher.compiler import Compiler
 from plexloom.graph import GraphView
 
 NODES = [
@@ -143,3 +145,35 @@ def test_rejected(text):
 def test_bad_patterns(view, pattern):
     with pytest.raises(CypherError):
         compile_query(view, f"MATCH (n) WHERE n.name =~ '{pattern}' RETURN n.id")
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        "MATCH (a:Reader)-[r:LENT]->(b), (w:Writer)-[:WROTE]->(b) RETURN b.name AS k, COUNT(*) AS n",
+        "MATCH (w:Writer)-[:WROTE]->(b), (a)-[r]->(b) RETURN w.name AS k, COUNT(*) AS n, COUNT(DISTINCT b.name) AS d, MIN(b.name) AS lo, MAX(b.name) AS hi",
+        "MATCH (a)-[r:TAUGHT]->(b), (c)-[s:TAUGHT]->(d) RETURN COUNT(*) AS n",
+        "MATCH (a)-[r:TAUGHT]->(b), (c)-[s:NONE]->(d) RETURN COUNT(*) AS n, COUNT(a) AS m",
+        "MATCH (a)-[:TAUGHT]->(b), (b)-[:TAUGHT]->(c) MATCH (x)-[:LENT]->(y) WHERE a.name <> c.name RETURN c.name AS k, COUNT(a) AS n, COUNT(a.missing) AS m ORDER BY k",
+        "MATCH (a)-[:TAUGHT]->(b), (x)-[:LENT]->(y) WHERE NOT EXISTS { (x)-[:LENT]->(:Book {id: 'b3'}) } WITH y.id AS k, COUNT(*) AS n WHERE n > 4 RETURN k, n",
+    ],
+)
+def test_folded_patterns(view, query, monkeypatch):
+    """Bindings that are only counted are joined with their number, and the result is that of all their pairs."""
+    def plan():
+        return compile_query(view, query)._jdf.queryExecution().optimizedPlan().toString()
+
+    got, folded = sorted(rows(view, query)), plan()
+    monkeypatch.setattr(Compiler, "_foldable", lambda self, q: None, raising=False)
+    assert got == sorted(rows(view, query)) and got
+    assert folded.count("Aggregate [") > plan().count("Aggregate [")
+
+
+def test_folded_hub(spark):
+    """A node that 70 000 others point to from each side: 4.9 thousand million pairs, which are counted."""
+    ids = spark.range(70_000).select(F.explode(F.array(F.concat(F.lit("a"), "id"), F.concat(F.lit("b"), "id"))).alias("id"))
+    columns = "project string, id string, label string, name string, qualified_name string, file_path string, start_line long, end_line long, properties string"
+    hub = spark.createDataFrame([("p", "h", "H", "hub", "h", None, None, None, "{}")], columns)
+    nodes = hub.unionByName(ids.select(F.lit("p").alias("project"), "id", F.upper(F.left("id", F.lit(1))).alias("label"), F.lit("x").alias("name"), F.col("id").alias("qualified_name")), allowMissingColumns=True)
+    edges = ids.select(F.lit("p").alias("project"), F.col("id").alias("source"), F.lit("h").alias("target"), F.lit("E").alias("kind"), F.lit("").alias("discriminator"), F.lit("{}").alias("properties"))
+    assert rows(GraphView(nodes, edges), "MATCH (a:A)-[:E]->(h:H), (b:B)-[:E]->(h) RETURN h.name AS k, COUNT(*) AS n") == [("hub", 70_000**2)]
