@@ -106,11 +106,11 @@ def _of_variant(v: Column) -> Column:
 
 def text_of(c: Column) -> Column:
     """A dynamic value as plain text."""
-    return F.when(c["rank"] == TEXT, c["s"]).otherwise(F.regexp_replace(c["j"], r"^(-?\d+)\.0$", "$1"))
+    return let(c, lambda x: F.when(x["rank"] == TEXT, x["s"]).otherwise(F.regexp_replace(x["j"], r"^(-?\d+)\.0$", "$1")))
 
 
 def only_text(c: Column) -> Column:
-    return F.when(c["rank"] == TEXT, c["s"])
+    return let(c, lambda x: F.when(x["rank"] == TEXT, x["s"]))
 
 
 def long_of(c: Column) -> Column:
@@ -162,7 +162,7 @@ def total(c: Column) -> Column:
 
 
 def _variant(c: Column) -> Column:
-    return F.when((c["rank"] == NUM) & ~c["whole"], c["d"].cast("variant")).otherwise(F.parse_json(c["j"]))
+    return let(c, lambda x: F.when((x["rank"] == NUM) & ~x["whole"], x["d"].cast("variant")).otherwise(F.parse_json(x["j"])))
 
 
 def to_variants(df: DataFrame) -> DataFrame:

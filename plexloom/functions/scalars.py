@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plexloom.functions.dynamic import BOOL, NUM, NUMBER, OTHER, TEXT, WHOLE, Value, dynamic, is_dynamic, long_of, only_text, text_of
+from plexloom.functions.dynamic import BOOL, NUM, NUMBER, OTHER, TEXT, WHOLE, Value, dynamic, is_dynamic, let, long_of, only_text, text_of
 
 
 def is_text(v: Value) -> bool:
@@ -26,13 +26,13 @@ def as_text(v: Value) -> Column:
 
 
 def by_type(v: Value, fn: Callable[[Value], Column]) -> Column:
-    """fn of a dynamic value, as the text, number or boolean that it is."""
-    c = v.col
-    return (
-        F.when(c["rank"] == TEXT, fn(Value(c["s"], T.StringType())))
+    """fn of a dynamic value, as the text, number or boolean that it is; the value is computed once."""
+    return let(
+        v.col,
+        lambda c: F.when(c["rank"] == TEXT, fn(Value(c["s"], T.StringType())))
         .when((c["rank"] == NUM) & c["whole"], fn(Value(long_of(c), T.LongType())))
         .when(c["rank"] == NUM, fn(Value(c["d"], T.DoubleType())))
-        .when(c["rank"] == BOOL, fn(Value(c["d"] == 1, T.BooleanType())))
+        .when(c["rank"] == BOOL, fn(Value(c["d"] == 1, T.BooleanType()))),
     )
 
 
@@ -76,7 +76,7 @@ def to_boolean(v: Value) -> Column:
 
 def size(v: Value) -> Column:
     if is_dynamic(v.type):
-        return F.when(v.col["rank"] == TEXT, F.length(v.col["s"])).when(v.col["rank"] == OTHER, F.json_array_length(v.col["j"])).cast("long")
+        return let(v.col, lambda c: F.when(c["rank"] == TEXT, F.length(c["s"])).when(c["rank"] == OTHER, F.json_array_length(c["j"])).cast("long"))
     if is_text(v):
         return F.length(v.col).cast("long")
     return F.size(v.col).cast("long") if isinstance(v.type, T.ArrayType | T.MapType) else F.lit(None).cast("long")

@@ -177,3 +177,10 @@ def test_folded_hub(spark):
     nodes = hub.unionByName(ids.select(F.lit("p").alias("project"), "id", F.upper(F.left("id", F.lit(1))).alias("label"), F.lit("x").alias("name"), F.col("id").alias("qualified_name")), allowMissingColumns=True)
     edges = ids.select(F.lit("p").alias("project"), F.col("id").alias("source"), F.lit("h").alias("target"), F.lit("E").alias("kind"), F.lit("").alias("discriminator"), F.lit("{}").alias("properties"))
     assert rows(GraphView(nodes, edges), "MATCH (a:A)-[:E]->(h:H), (b:B)-[:E]->(h) RETURN h.name AS k, COUNT(*) AS n") == [("hub", 70_000**2)]
+
+
+def test_dynamic_values_once(view):
+    """A function of a JSON property parses the JSON once a row, however often it looks at the value."""
+    for f in ("toFloat", "toInteger", "toString", "size", "toUpper"):
+        plan = compile_query(view, f"MATCH (w:Writer) RETURN {f}(w.born) AS x")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson(") == 1, f
