@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexloom.graph import GraphView
+from plexloom.operators.text import term_counts
 from plexloom.operators.traverse import cut
 
 PAGE = 200
@@ -270,7 +271,7 @@ def build_text_index(docs: DataFrame, key: str, text: str, path: str) -> None:
     """Write an inverted index: postings (term, key, tf, n) in order of their terms, so that a query reads the files of
     its own terms only, and the number and mean length of texts.  The index is made once and read by every query."""
     held = docs.select(key, tokens(F.col(text)).alias("t")).withColumn("n", F.size("t"))
-    postings = held.select(key, "n", F.explode("t").alias("term")).groupBy("term", key, "n").agg(F.count("*").alias("tf"))
+    postings = term_counts(docs, key, tokens(F.col(text))).select("term", key, "n", "tf")  # shuffled once, into their order
     postings.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
     held.agg(F.count("*").alias("docs"), F.avg("n").alias("avg")).write.mode("overwrite").parquet(f"{path}/totals")
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +132,24 @@ def identifier_tokens(c, most: int | None = None):
     return out if most is None else F.slice(out, 1, most)
 
 
+def term_counts(docs: DataFrame, key: str, tokens) -> DataFrame:
+    """(key, n, term, tf): how often a row has each of its terms, and how many tokens it has.  A row is counted where it
+    is read, so nothing is shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(1)
+            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = pc.list_flatten(column).dictionary_encode()
+            size = max(len(coded.dictionary), 1)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            pairs, tf = np.unique(row * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            at = pairs // size
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(lengths[at]), coded.dictionary.take(pa.array(pairs % size)), pa.array(tf.astype(np.int64))], names=[key, "n", "term", "tf"])
+
+    return docs.select(key, tokens.alias("t")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n long, term string, tf long")
+
+
 def document_frequency(docs: DataFrame, key: str, tokens) -> DataFrame:
     """(token, df, idf_milli): idf = max(0, ln((N + 1) / (df + 1)) + 1), in thousandths."""
     held = docs.select(key, F.array_distinct(tokens).alias("t"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from plexloom.graph import GraphView
 from plexloom.operators import search, text, traverse
+from plexloom.operators.text import term_counts
 from plexloom.sources import repository
 
 NODE = "project string, id string, label string, name string, qualified_name string, file_path string, start_line long, end_line long, properties string"
@@ -220,3 +221,15 @@ def test_colours_and_linked_layout(spark, view):
     nodes, links = summary.linked_layout(GraphView(view.nodes, view.edges.unionByName(link)), {"q": other})
     assert nodes.filter("linked = 'q'").count() == 2 and nodes.filter("linked = ''").count() == 8
     assert [tuple(r) for r in links.collect()] == [("f1", "q", "q-c1", "CROSS_HTTP_CALLS")]
+
+
+def test_index_is_shuffled_once(spark, tmp_path):
+    """Terms are counted where a text is read, also of null, empty and very long texts; only their order needs a shuffle."""
+    from collections import Counter
+
+    texts = [(1, "the license, THE end"), (2, None), (3, ""), (4, "!!"), (5, "Ünï ünï a_b " * 3000), (6, "the")]
+    docs = spark.createDataFrame(texts, "id long, body string")
+    got = term_counts(docs, "id", search.tokens(F.col("body")))
+    want = {1: Counter("the license the end".split()), 5: Counter({"ünï": 6000, "a_b": 3000}), 6: Counter(["the"])}
+    assert sorted(map(tuple, got.collect())) == sorted((k, sum(c.values()), w, n) for k, c in want.items() for w, n in c.items())
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
