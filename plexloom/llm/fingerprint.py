@@ -17,6 +17,8 @@ doc_id comes after all others; a single row is its own successor; repeated rows
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,10 +31,10 @@ from pyspark.sql import functions as F
 from plexloom.llm.common import blank_words, map_batches
 
 SLOTS = 128
-#: Terms whose samples a worker remembers.
-CACHE = 80_000
+#: Terms whose samples a worker remembers (82 MB); it remembers the draws of a quarter as many that are there several times (61 MB).
+CACHE = 160_000
 #: Terms that are compared at once; their draws fit into a core's cache.
-BLOCK = 512
+BLOCK = 256
 #: Rows of a range, about, and the most ranges.
 RANGE_ROWS, MOST_RANGES = 4_000, 20_000
 
@@ -59,67 +61,99 @@ def _unit(bits: np.ndarray, shift: int, size: int) -> np.ndarray:
     return out
 
 
-class Sampler:
-    """Draws of terms, remembered in a table of bounded size."""
+def draws(terms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names, and r, ln c and beta for each slot, of terms."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, len(terms))
+    bits = _mix(h[:, None] + _STEPS)
+    # two hashes a slot: twice 23 bits of each for the gammas, 18 bits of one for beta
+    gamma = _unit(bits, 0, 23)
+    gamma *= _unit(bits, 23, 23)
+    np.negative(np.log(gamma, out=gamma), out=gamma)
+    return h, gamma[:, :SLOTS], np.log(gamma[:, SLOTS:]), _unit(bits[:, :SLOTS], 46, 18)
 
-    def __init__(self) -> None:
+
+class Draws:
+    """What is drawn for a term, remembered for so many terms; where the table is full, the half that was asked for least
+    makes room.  It is r, ln c and beta, or of terms that are there once only their sample ln c - r (1 - beta)."""
+
+    def __init__(self, size: int, once: bool) -> None:
+        self.size, self.once = size, once
         self.rows: dict[bytes, int] = {}
-        self.r = np.empty((CACHE, SLOTS), np.float32)
-        self.c, self.beta, self.single = np.empty_like(self.r), np.empty_like(self.r), np.empty_like(self.r)
-        self.name = np.empty(CACHE, np.uint64)
-
-    def _draw(self, at: slice, terms: list[bytes]) -> None:
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, len(terms))
-        bits = _mix(h[:, None] + _STEPS)
-        # two hashes a slot: twice 23 bits of each for the gammas, 18 bits of one for beta
-        gamma = -np.log(_unit(bits, 0, 23) * _unit(bits, 23, 23))
-        self.r[at] = gamma[:, :SLOTS]
-        self.c[at] = np.log(gamma[:, SLOTS:])
-        self.beta[at] = _unit(bits[:, :SLOTS], 46, 18)
-        self.single[at] = self.c[at] - self.r[at] * (1 - self.beta[at])
-        self.name[at] = h
-
-    def _find(self, terms: list[bytes]) -> np.ndarray:
-        new = [t for t in terms if t not in self.rows]
-        if len(self.rows) + len(new) > CACHE:
-            self.rows.clear()
-            new = terms
-        if new:
-            at = len(self.rows)
-            self.rows.update(zip(new, range(at, at + len(new)), strict=True))
-            self._draw(slice(at, at + len(new)), new)
-        return np.fromiter(map(self.rows.__getitem__, terms), np.int64, len(terms))
+        self.free, self.asked = np.arange(size), np.zeros(size, np.int64)
+        self.drawn = np.empty((size, SLOTS) if once else (size, 3, SLOTS), np.float32)
+        self.held = np.empty((BLOCK, *self.drawn.shape[1:]), np.float32)
+        self.name = np.empty(size, np.uint64)
+
+    def find(self, terms: list[bytes]) -> np.ndarray:
+        """Rows of at most BLOCK distinct terms."""
+        at = np.fromiter(map(self.rows.get, terms, repeat(-1)), np.int64, len(terms))
+        missing = np.flatnonzero(at < 0)
+        if len(missing) > len(self.free):
+            self._evict()
+            return self.find(terms)
+        if len(missing):
+            new, own = [terms[i] for i in missing], self.free[: len(missing)]
+            at[missing], self.free = own, self.free[len(missing) :]
+            self.rows.update(zip(new, own.tolist(), strict=True))
+            self.name[own], r, c, beta = draws(new)
+            if self.once:
+                self.drawn[own] = c - r * (1 - beta)
+            else:
+                self.drawn[own, 0], self.drawn[own, 1], self.drawn[own, 2] = r, c, beta
+        self.asked[at] += 1
+        return at
+
+    def _evict(self) -> None:
+        kept = np.zeros(self.size, bool)
+        kept[np.argpartition(self.asked, self.size // 2)[self.size // 2 :]] = True
+        kept[self.free] = False
+        self.rows = {t: i for t, i in self.rows.items() if kept[i]}
+        self.free = np.flatnonzero(~kept)
+        self.asked >>= 1
+        self.asked[self.free] = 0
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """Rows in an array that is used again, as new ones of this size cost more than what is computed in them."""
+        return self.drawn.take(at, 0, out=self.held[: len(at)], mode="clip")  # with "raise", it makes a copy of its own
+
+
+class Sampler:
+    def __init__(self) -> None:
+        self.single, self.several = Draws(CACHE, True), Draws(CACHE // 4, False)
+        self.t, self.slot = np.empty((BLOCK, SLOTS), np.float32), np.arange(SLOTS)
 
     def slots(self, counts: dict[bytes, int]) -> np.ndarray:
         """16 bits for each slot, never 0; all 0 for no terms."""
         if not counts:
             return np.zeros(SLOTS, np.uint16)
         best, name, step = np.full(SLOTS, np.inf, np.float32), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.float32)
-        once, more = [t for t, n in counts.items() if n == 1], [t for t, n in counts.items() if n > 1]
-        for terms in (once, more):
+        once, more = [t for t, n in counts.items() if n == 1], {t: n for t, n in counts.items() if n > 1}
+        number, more = np.log(np.fromiter(more.values(), np.float32, len(more))), list(more)
+        for terms, table in ((once, self.single), (more, self.several)):
             for i in range(0, len(terms), BLOCK):
                 part = terms[i : i + BLOCK]
-                at = self._find(part)
+                at = table.find(part)
                 if terms is once:  # ln w is 0, so t is 0
-                    a, t = self.single[at], None
+                    a, t = table.take(at), None
                 else:
-                    w = np.log(np.fromiter((counts[x] for x in part), np.float32, len(part)))[:, None]
-                    r, beta = self.r[at], self.beta[at]
-                    t = np.floor(w / r + beta)
-                    a = self.c[at] - r * (t - beta + 1)
-                low = a.min(axis=0)
-                row = (a == low).argmax(axis=0)
+                    r, a, beta = table.take(at).swapaxes(0, 1)
+                    t = np.divide(number[i : i + BLOCK, None], r, out=self.t[: len(at)])
+                    t += beta
+                    np.floor(t, out=t)
+                    np.subtract(t, beta, out=beta)
+                    beta += 1
+                    beta *= r
+                    a -= beta
+                row = a.argmin(axis=0)
+                low = a[row, self.slot]
                 better = np.flatnonzero(low < best)
                 row = row[better]
-                best[better], name[better] = low[better], self.name[at[row]]
+                best[better], name[better] = low[better], table.name[at[row]]
                 step[better] = 0 if t is None else t[row, better]
         return (_mix(name + step.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
 
     def fingerprint(self, text: str | None) -> np.ndarray:
-        counts: dict[bytes, int] = {}
-        for w in blank_words(text):
-            counts[w] = counts.get(w, 0) + 1
-        return self.slots(counts)
+        return self.slots(Counter(blank_words(text)))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -164,7 +198,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     before = {first[p]: order[i - 1] for i, p in enumerate(order)}  # first id of a range -> the range that looks ahead to it; order[-1] closes the ring
 
     def pack(batches):
-        press = zstandard.ZstdCompressor(level=6)
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             rows = []
             for p, i, t in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):

@@ -42,3 +42,17 @@ def test_fingerprint_estimates_weighted_jaccard():
     keys = set(a) | set(b)
     true = sum(min(a.get(k, 0), b.get(k, 0)) for k in keys) / sum(max(a.get(k, 0), b.get(k, 0)) for k in keys)
     assert abs(likeness(s.slots(a), s.slots(b)) - true) < 0.15
+
+
+def test_draws_keep_what_is_asked_for(monkeypatch):
+    """A full table forgets rare terms, draws frequent ones once, and its fingerprints are those of a table that never fills."""
+    from plexloom.llm import fingerprint
+
+    texts = [" ".join([*(f"w{i}" for i in range(60)), *(f"x{k}_{i}" for i in range(40)), "w1 w2 w2"]) for k in range(40)]
+    plain = [fingerprint.Sampler().fingerprint(t).tolist() for t in texts]
+    monkeypatch.setattr(fingerprint, "CACHE", 4 * fingerprint.BLOCK)
+    drawn, draws = [], fingerprint.draws
+    monkeypatch.setattr(fingerprint, "draws", lambda terms: drawn.extend(terms) or draws(terms))
+    sampler = fingerprint.Sampler()
+    assert [sampler.fingerprint(t).tolist() for t in texts] == plain
+    assert len(sampler.single.rows) <= 4 * fingerprint.BLOCK < len(drawn) and drawn.count(b"w5") == 1 and drawn.count(b"w2") == 1
