@@ -126,7 +126,7 @@ add("coupled_files", f"SELECT a, b, together FROM ({ORACLE_SQL['cochange']}) WHE
 add("git_log", "SELECT lpad(CAST(l_orderkey AS VARCHAR), 8, '0') AS sha, CAST(l_orderkey AS BIGINT) AS ts, 'p' || l_partkey || '.rs' AS path FROM lineitem")(
     lambda s, d: repository.git_log(
         t(s, d, "orders").select(F.pmod("o_orderkey", F.lit(8)).cast("string").alias("repo"), (F.col("o_orderkey") * 100).alias("n"), F.concat(F.lit("COMMIT:"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit(":"), "o_orderkey").alias("value"))
-        .unionByName(t(s, d, "lineitem").join(t(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").withColumn("k", F.row_number().over(_order_lines())).select(F.pmod("l_orderkey", F.lit(8)).cast("string").alias("repo"), (F.col("l_orderkey") * 100 + F.col("k")).alias("n"), F.concat(F.lit("p"), "l_partkey", F.lit(".rs")).alias("value")))
+        .unionByName(t(s, d, "lineitem").repartition(repository.tasks(s), "l_orderkey").join(t(s, d, "orders").select("o_orderkey").repartition(repository.tasks(s), "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").withColumn("k", F.row_number().over(_order_lines())).select(F.pmod("l_orderkey", F.lit(8)).cast("string").alias("repo"), (F.col("l_orderkey") * 100 + F.col("k")).alias("n"), F.concat(F.lit("p"), "l_partkey", F.lit(".rs")).alias("value")))
     )
 )
 

@@ -119,16 +119,35 @@ def manifests(files: DataFrame) -> DataFrame:
     return files.select(path.alias("manifest"), name.alias("name"), root.alias("root"), entry.alias("entry")).filter("name is not null")
 
 
+#: Line numbers of a block of a log, and the tasks that blocks are dealt to at least.
+BLOCK_LINES, BLOCK_TASKS = 1 << 18, 200
+
+
+def tasks(spark: SparkSession) -> int:
+    """Tasks that lines are dealt to: as the number is given, adaptive execution doesn't gather them into a few large ones."""
+    return max(BLOCK_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def git_log(lines: DataFrame) -> DataFrame:
-    """(sha, ts, path) of a log (n, value) whose COMMIT:<sha>:<ts> lines head the paths of each commit.
+    """(sha, ts, path) of a log (n, value) whose COMMIT:<sha>:<ts> lines head the paths of each commit; several logs have a
+    column `repo`.
 
-    The log's order is carried by a window over the header; give a log per partition column `repo` to spread it.
+    A log is cut into blocks of BLOCK_LINES line numbers, so no task holds a whole one.  Lines before a block's first
+    header have the last header of the blocks before it, for which one row a block is enough.
     """
-    head = F.regexp_extract("value", r"^COMMIT:([0-9a-f]+):(\d+)$", 0)
-    by = Window.partitionBy("repo").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines if "repo" in lines.columns else lines.withColumn("repo", F.lit(""))
-    rows = rows.withColumn("h", F.last(F.when(head != "", head), True).over(by))
-    return rows.filter((head == "") & (F.col("value") != "") & F.col("h").isNotNull()).select(F.element_at(F.split("h", ":"), 2).alias("sha"), F.element_at(F.split("h", ":"), 3).cast("long").alias("ts"), F.col("value").alias("path"))
+    head = F.when(F.startswith("value", F.lit("COMMIT:")), F.regexp_extract("value", r"^COMMIT:([0-9a-f]+):(\d+)$", 0)).otherwise("")
+    n = F.coalesce(F.col("n").cast("long"), F.lit(-(1 << 63)))
+    log = ["repo", "none"] if "repo" in lines.columns else []
+    named = [F.coalesce("repo", F.lit("")).alias("repo"), F.col("repo").isNull().alias("none")] if log else []
+    at = ["block", *log]
+    dealt = lines.select(*named, F.shiftright(n, BLOCK_LINES.bit_length() - 1).alias("block"), n.alias("n"), "value").repartition(tasks(lines.sparkSession), *at)
+    last = dealt.groupBy(*at).agg(F.max_by("value", F.when(head != "", F.col("n"))).alias("last"))
+    before = Window.partitionBy(*log).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*at, F.last("last", True).over(before).alias("carried"))
+    by = Window.partitionBy(*at).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    known = dealt.withColumn("h", F.last(F.when(head != "", head), True).over(by)).filter((head == "") & (F.col("value") != ""))
+    h = F.split(F.coalesce("h", "carried"), ":")
+    return known.join(carried, at, "left").filter(F.coalesce("h", "carried").isNotNull()).select(F.element_at(h, 2).alias("sha"), F.element_at(h, 3).cast("long").alias("ts"), F.col("value").alias("path"))
 
 
 def diff_hunks(lines: DataFrame) -> DataFrame:

@@ -36,6 +36,26 @@ def test_git(spark):
     assert sorted(tuple(r) for r in repository.diff_hunks(diff).collect()) == [("x.py", 3, 6), ("x.py", 12, 12)]
 
 
+def test_git_log_blocks(spark, monkeypatch):
+    """Logs in blocks against a plain loop: commits longer than several blocks, blocks without a line, lines before any
+    header, a log without a name, and no task that has a whole log."""
+    monkeypatch.setattr(repository, "BLOCK_LINES", 4)
+    rows, want = [], []
+    for repo, step in ((None, 1), ("a", 1), ("b", 7)):
+        h = None
+        for i, v in enumerate(["early", *(x for k in range(12) for x in (f"COMMIT:{k:02x}:{k}", *(f"{repo}/{k}_{j}" for j in range(k * k % 23)), ""))]):
+            rows.append((repo, i * step - 20, v))
+            if v.startswith("COMMIT:"):
+                h = v.split(":")
+            elif v and h:
+                want.append((h[1], int(h[2]), v))
+    log = repository.git_log(spark.createDataFrame(rows, "repo string, n long, value string").repartition(3))
+    assert sorted(tuple(r) for r in log.collect()) == sorted(want) and len(want) > 200
+    one = repository.git_log(spark.createDataFrame([(n, v) for r, n, v in rows if r == "a"], "n long, value string"))
+    held = one.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert max(r["count"] for r in held) < sum(r["count"] for r in held) / 4
+
+
 def small(spark):
     view = commerce(spark, SF, {"Region", "Nation"}, {"IN_REGION"})
     return GraphView(view.nodes.withColumn("file_path", F.when(F.col("label") == "Nation", F.lit("n.rs"))), view.edges)
