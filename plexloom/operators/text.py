@@ -161,10 +161,12 @@ def document_frequency(docs: DataFrame, key: str, tokens) -> DataFrame:
 
 def tfidf(docs: DataFrame, key: str, tokens) -> DataFrame:
     """(key, token, weight): term count times idf, rows scaled to length 1."""
-    tf = docs.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
-    w = tf.join(document_frequency(docs, key, tokens), "token").withColumn("w", F.col("tf") * F.col("idf_milli") / 1000.0)
-    norm = w.groupBy(F.col(key).alias("__k")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, F.col(key) == F.col("__k")).filter("norm > 0").select(key, "token", (F.col("w") / F.col("norm")).alias("weight"))
+    tf = term_counts(docs, key, tokens).select(key, F.col("term").alias("token"), "tf")
+    both = tf.join(document_frequency(docs, key, tokens), "token").repartition(key)
+    w = both.groupBy(key, "token", "idf_milli").agg(F.sum("tf").alias("tf")).withColumn("w", F.col("tf") * F.col("idf_milli") / 1000.0)
+    # a key's terms meet once: rows that share it are added up there, its norm is taken and top_terms() ranks them
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return w.withColumn("norm", norm).filter("norm > 0").select(key, "token", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def top_terms(weights: DataFrame, key: str, k: int) -> DataFrame:

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from plexloom.operators import enrich, search, vectors
+from plexloom.operators import enrich, search, vectors, text
 from plexloom.plans.queries import ORACLE_SQL, QUERIES
 from tests.oracle import check
 
@@ -130,3 +130,15 @@ def test_config_links(spark):
     plain = lambda x: "".join(c for c in x if c.isalnum()).lower()
     want = {(x, i, 0.85 if plain(x) == plain(n) else 0.75) for x in keys for i, n in enumerate(names) if plain(x) and plain(x) in plain(n)}
     assert {(r.key, r.id, float(r.confidence)) for r in enrich.config_links(k, s).collect()} == want and len(want) == 4
+
+
+def test_tfidf_shuffles(spark):
+    """Rows that share a key are added up, and postings are dealt by their key once."""
+    docs = spark.createDataFrame([(1, "a a b"), (1, "a c"), (2, "b"), (3, None)], "id long, text string")
+    top = text.top_terms(text.tfidf(docs.filter("id < 3"), "id", search.tokens(F.col("text"))), "id", 3)
+    size = (3.864**2 + 1.288**2 + 1.693**2) ** 0.5
+    want = [(1, "a", 1, 3.864 / size), (1, "c", 2, 1.693 / size), (1, "b", 3, 1.288 / size), (2, "b", 1, 1.0)]
+    got = sorted((r.id, r["rank"], r.token, r.weight) for r in top.collect())
+    assert [(i, t, k) for i, k, t, _ in got] == [x[:3] for x in want] and all(abs(g[3] - w[3]) < 1e-9 for g, w in zip(got, want, strict=True))
+    plan = text.top_terms(text.tfidf(docs, "id", search.tokens(F.col("text"))), "id", 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(id") == 1
